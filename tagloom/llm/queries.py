@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe
+from tagloom.llm import bpe, line_dedup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,70 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SEQUENCE_TOKENS = 2048
+
+
+def packed_documents(documents: DataFrame) -> DataFrame:
+    """Pieces of at most 2048 tokens with their places in as few sequences as can be had."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = documents.select("doc_id", packing.token_bytes_column(F.col("text"), path, end_id=0).alias("ids"))
+    pieces = packing.cut(ids, "ids", SEQUENCE_TOKENS).select("doc_id", "piece", "start", "length", F.crc32("piece_ids").alias("ids_crc32"))
+    # a document has a piece at least and seldom more than a few: its count is near enough to size the groups
+    groups = packing.n_groups_for(documents.count())
+    return packing.pack(pieces, ["doc_id", "piece", "ids_crc32"], SEQUENCE_TOKENS, groups)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document, whole, into sequences of 2048 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: A run of lines counts as repeated if it has two lines, or one of forty characters.
+MIN_LINES, MIN_CHARS = 2, 40
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated line runs from every document; the kept text as a digest."""
+    cleaned = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=MIN_LINES, min_chars=MIN_CHARS)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+full_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM split WHERE length(trim(line, ' ')) > 0),
+pairs AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS line2 FROM full_lines),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS n1,
+         row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, pos) AS n2 FROM pairs),
+flagged AS (
+  SELECT *, (n1 > 1 AND length(line) >= 40) OR (line2 IS NOT NULL AND n2 > 1)
+         OR coalesce(lag(line2 IS NOT NULL AND n2 > 1) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone
+  FROM ranked),
+every AS (
+  SELECT s.doc_id, s.pos, s.line, f.gone, f.seq,
+         last_value(f.gone IGNORE NULLS) OVER (PARTITION BY s.doc_id ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
+         first_value(f.gone IGNORE NULLS) OVER (PARTITION BY s.doc_id ORDER BY s.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+  FROM split s LEFT JOIN flagged f ON f.doc_id = s.doc_id AND f.pos = s.pos),
+texts AS (
+  SELECT doc_id, count(seq) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, before AND after, false)), '') AS kept
+  FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN texts t ON t.doc_id = d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_dedup": op3_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
