@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 class TwoGenerationCache(dict):
     """A memo of at most about ``2 * limit`` entries; entries used since the last turnover survive it.
 
-    ``cache[key]`` computes ``make(key)`` on a miss. Results never depend on what is cached.
+    ``cache[key]`` computes ``make(key)`` on a miss. Keys longer than ``longest`` are computed each time, so that the
+    memo is bounded in bytes too. Results never depend on what is cached.
     """
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 400_000, longest: int = 48):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > self.longest:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -42,17 +45,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and rereads it: lineage ends at files every executor sees."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # the shuffle files of this job are of no use once the table is there
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialize`` wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, line_dedup, packing
+from tagloom.llm import bpe, line_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,13 +85,42 @@ FROM documents d LEFT JOIN texts t ON t.doc_id = d.doc_id
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes words covered by windows of 13 words that a document of smaller id has too; the kept words as a digest."""
+    cleaned = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    words = F.expr(r"trim(BOTH ' ' FROM regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' '))")
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM lists WHERE len(words) >= 13)),
+firsts AS (SELECT w, min(doc_id) AS lo FROM windows GROUP BY w),
+gone AS (
+  SELECT DISTINCT doc_id, p + o.range AS p
+  FROM windows JOIN firsts USING (w), range(13) o WHERE doc_id > lo),
+kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.p) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM lists) e
+  ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY e.doc_id)
+SELECT l.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM lists l LEFT JOIN kept k ON k.doc_id = l.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
 }
