@@ -16,24 +16,20 @@ that agree in the id do not remove each other's words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import TwoGenerationCache, discard, materialize, spread
+from tagloom.llm.common import discard, materialize, spread
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_ids = TwoGenerationCache(xxhash.xxh3_64_intdigest, 500_000)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    words = text.split()  # ASCII white space: 0x20 and 0x09 to 0x0D
-    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+#: Texts are looked at together up to so many bytes.
+CHUNK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,20 +38,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=4)
+def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    n = 1 << bits
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets): runs of texts of about CHUNK bytes. Nulls count as empty."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    row, n = 0, len(texts)
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        row = end
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of texts laid end to end start and end, and the number of words before each text."""
+    word = np.empty(len(raw) + 1, bool)
+    np.logical_not((raw == 32) | ((raw >= 9) & (raw <= 13)), out=word[:-1])
+    word[-1] = False
+    start, end = word[:-1].copy(), word[:-1].copy()
+    start[1:] &= ~word[:-2]
+    end &= ~word[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(raw))]
+    start[inner] = word[inner]
+    end[inner - 1] = word[inner - 1]
+    starts = np.flatnonzero(start)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    up, down = _powers(max(20, int(len(raw)).bit_length()), base)
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+
+
 def window_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:
     """Of every window of ``length`` words, put together from windows of half the length, level by level."""
-    powers, level, size = {1: base}, words, 1
+    power, level, size = base, words, 1
     for bit in bin(length)[3:]:
         if len(level) <= size:
             return np.empty(0, np.uint64)
-        level = level[:-size] * np.uint64(powers[size]) + level[size:]
-        powers[2 * size] = powers[size] ** 2 % 2**64
-        size *= 2
+        level = level[:-size] * np.uint64(power) + level[size:]
+        power, size = power * power % 2**64, 2 * size
         if bit == "1":
+            if len(words) <= size:
+                return np.empty(0, np.uint64)
             level = level[: len(words) - size] * np.uint64(base) + words[size:]
-            powers[size + 1] = powers[size] * base % 2**64
-            size += 1
-    return level
+            power, size = power * base % 2**64, size + 1
+    return level if len(words) >= length else np.empty(0, np.uint64)
 
 
 def sliding_min(x: np.ndarray, length: int) -> np.ndarray:
@@ -67,115 +106,170 @@ def sliding_min(x: np.ndarray, length: int) -> np.ndarray:
     return x
 
 
-def anchors(text: bytes | None, window: int, half: int) -> np.ndarray:
-    """The hashes of the half windows that stand for the windows of a text, each once."""
-    words = word_hashes(text) if text else np.empty(0, np.uint64)
+def _stand_ins(words: np.ndarray, counts: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all windows within one text each, the half windows that stand for them, and the row of each."""
     if len(words) < window:
-        return np.empty(0, np.uint64)
-    return np.unique(sliding_min(mixed(window_hashes(words, half, _B1)), window - half + 1))
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    least = sliding_min(mixed(window_hashes(words, half, _B1)), window - half + 1)
+    row = np.repeat(np.arange(len(counts) - 1), np.diff(counts))[: len(least)]
+    at = np.flatnonzero(np.arange(len(least)) + window <= counts[row + 1])
+    return at, least[at], row[at]
 
 
-def _anchor_lists(window: int, half: int):
+def _half_windows(window: int, half: int):
     def lists(texts: pa.Array) -> pa.Array:
-        found = [anchors(t, window, half) for t in texts.to_pylist()]
-        offsets = np.zeros(len(found) + 1, np.int32)
-        np.cumsum([len(x) for x in found], out=offsets[1:])
-        values = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        sizes, values = [np.zeros(1, np.int64)], [np.empty(0, np.uint64)]
+        for first, end, raw, offsets in chunks(texts):
+            starts, ends, counts = words_of(raw, offsets)
+            _, least, row = _stand_ins(word_hashes(raw, starts, ends, _B1), counts, window, half)
+            fresh = np.ones(len(least), bool)
+            fresh[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+            values.append(least[fresh])
+            sizes.append(np.bincount(row[fresh], minlength=end - first))
+        lengths = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(values).view(np.int64)))
 
     return F.arrow_udf(lists, T.ArrayType(T.LongType(), False))
 
 
-def _same_as_a_neighbour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``key``, those with a neighbour of the same key; the first and last key of a partition stay."""
-    held, before = None, None
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows, the number of the run of equal keys that each is in, and where the runs start."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _in_two_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and document, those whose key has two documents; the ends of a batch stay unseen."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        if held is not None:
-            yield _surviving(held, before, batch.column("key")[0].as_py())
-            before = held.column("key")[-1].as_py()
-        held = batch
-    if held is not None:
-        yield _surviving(held, before, None)
-
-
-def _surviving(batch: pa.RecordBatch, before: int | None, after: int | None) -> pa.RecordBatch:
-    keys = batch.column("key").to_numpy()
-    same = keys[1:] == keys[:-1]
-    stays = np.r_[same, after is None or keys[-1] == after] | np.r_[before is None or keys[0] == before, same]
-    if before is None:
-        stays |= keys == keys[0]
-    if after is None:
-        stays |= keys == keys[-1]
-    return batch.filter(pa.array(stays))
-
-
-def _windows_of(keys: list[int], text: bytes, window: int, half: int):
-    """Places of the windows that a surviving half window stands for, and their two hashes."""
-    words = word_hashes(text)
-    if len(words) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    stands = sliding_min(mixed(window_hashes(words, half, _B1)), window - half + 1)
-    at = np.flatnonzero(np.isin(stands, np.array(keys, np.int64).view(np.uint64)))
-    first = window_hashes(words, window, _B1)[at]
-    second = window_hashes(mixed(words ^ np.uint64(_B2)), window, _B2)[at]
-    return at, first, second
+        run, starts = _runs(batch.column("key").to_numpy())
+        ids = batch.column("_d").to_numpy(zero_copy_only=False)
+        ends = np.r_[starts[1:], len(run)] - 1
+        alive = ids[starts] != ids[ends]
+        alive[0] = alive[-1] = True
+        yield batch.filter(pa.array(alive[run]))
 
 
 def _extend(window: int, half: int):
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column("_d"), batch.column("_t")
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                found = [_windows_of(k, t, window, half) for k, t in zip(part.column("keys").to_pylist(), part.column("text").to_pylist())]
-                of = np.repeat(np.arange(start, start + part.num_rows), [len(x[0]) for x in found])
+            lists, marks = batch.column("keys"), [batch.column("_d"), batch.column("_t")]
+            key_offsets, keys = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for first, end, raw, offsets in chunks(batch.column("text")):
+                starts, ends, counts = words_of(raw, offsets)
+                words = word_hashes(raw, starts, ends, _B1)
+                at, least, row = _stand_ins(words, counts, window, half)
+                of = np.repeat(np.arange(end - first), np.diff(key_offsets[first : end + 1]))
+                known = keys[key_offsets[first] : key_offsets[end]] + of.astype(np.uint64) * np.uint64(_B2)
+                found = np.isin(least + row.astype(np.uint64) * np.uint64(_B2), known)
+                at, row = at[found], row[found]
+                if not len(at):
+                    continue
+                one = window_hashes(words, window, _B1)[at]
+                two = window_hashes(word_hashes(raw, starts, ends, _B2), window, _B2)[at]
+                rows = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(of)), marks.take(pa.array(of)), *(pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in range(3))],
+                    [*(m.take(rows) for m in marks), pa.array((at - counts[row]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
                     names=["_d", "_t", "place", "h1", "h2"],
                 )
 
     return extend
 
 
-def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def _after_the_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows sorted by hashes and document: those that a smaller document of the same partition has too.
+
+    Rows of the first key of a partition that are not that come as ``open``; the last key comes as ``last`` with its
+    least document here, and so does the first: an earlier partition may hold the document that decides.
+    """
+    key, least, opening = None, None, True
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        h1, h2, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "_d"))
+        run, starts = _runs(h1, h2)
+        lows = ids[starts].copy()
+        if key == (h1[0], h2[0]):
+            lows[0] = least
+        elif key is not None:
+            opening = False
+        later = ids > lows[run]
+        state = np.where(later, 0, -1)
+        if opening:
+            state[(run == 0) & ~later] = 1
+            if run[-1] > 0:
+                opening = False
+        stays = state >= 0
+        key, least = (h1[-1], h2[-1]), lows[-1]
+        yield batch.append_column("state", pa.array(state.astype(np.int32))).filter(pa.array(stays))
+        kept = batch.slice(n - 1, 1)
+    if key is not None:
+        last = pa.RecordBatch.from_arrays(
+            [pa.array([least], kept.schema.field("_d").type) if c == "_d" else kept.column(c) for c in kept.schema.names] + [pa.array([2], pa.int32())],
+            names=[*kept.schema.names, "state"],
+        )
+        yield last
+
+
+def _later_copies(windows: DataFrame, spark) -> DataFrame:
+    """(_d, _t, place) of the windows whose words a document of smaller id has too.
+
+    The windows are dealt by ranges of (hashes, document), so that a window that a third of all documents have spreads
+    over as many tasks as it needs. What one partition cannot know of its first window, the last windows of the
+    partitions before it tell: one row a partition, joined to the rows left open.
+    """
+    dealt = windows.repartitionByRange(spread(spark), "h1", "h2", "_d").sortWithinPartitions("h1", "h2", "_d")
+    schema = T.StructType([*windows.schema.fields, T.StructField("state", T.IntegerType())])
+    seen = materialize(dealt.mapInArrow(_after_the_first, schema), "later-windows")
+    lasts = seen.filter("state = 2").groupBy("h1", "h2").agg(F.min("_d").alias("_lo"))
+    opened = seen.filter("state = 1").join(F.broadcast(lasts), ["h1", "h2"]).filter("_d > _lo")
+    return seen.filter("state = 0").select("_d", "_t", "place").unionByName(opened.select("_d", "_t", "place"))
+
+
+def _documents(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(_d, _t, text) of the documents that can take part, (_d, _t, _a, _u, _n) of the same, and whether an id has two rows."""
+    taking = documents.select(F.col(id_col).alias("_d"), F.col(text_col).cast("binary").alias("text")).filter("_d is not null and text is not null")
+    marks = materialize(taking.select("_d", F.xxhash64("text").alias("_a"), F.xxhash64(F.lit("\u0001"), "text").alias("_u"), F.length("text").alias("_n")), "marks")
+    repeated = not marks.groupBy("_d").count().filter("count > 1").isEmpty()
+    mark = lambda text_hash: text_hash if repeated else F.lit(0).cast("long")
+    return taking.withColumn("_t", mark(F.xxhash64("text"))), marks.withColumn("_t", mark(F.col("_a"))), repeated
+
+
+def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> tuple[DataFrame, bool]:
     """(_d, _t, whole, runs): of each document that loses words, whether all, or the runs (from, to) of places of words.
 
-    ``_d`` is the id and ``_t`` a hash of the text.
+    ``_d`` is the id and ``_t`` 0, or a hash of the text if an id has two rows; the second value says which.
     """
     half = window // 2 + 1
     spark = documents.sparkSession
-    id_type = documents.schema[id_col].dataType
-    docs = documents.select(F.col(id_col).alias("_d"), F.xxhash64(text_col).alias("_t"), F.col(text_col).cast("binary").alias("text")).filter("_d is not null and text is not null")
+    docs, marks, by_hash = _documents(documents, id_col, text_col)
 
     # copies of a text under a larger id
-    marks = docs.select("_d", "_t", F.xxhash64(F.lit("\u0001"), "text").alias("_u"), F.length("text").alias("_n"))
-    classes = marks.groupBy("_t", "_u", "_n").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).filter("_lo < _hi").drop("_hi")
-    copies = materialize(marks.join(classes, ["_t", "_u", "_n"]).filter("_d > _lo").select("_d", "_t").distinct(), "copies")
+    classes = marks.groupBy("_a", "_u", "_n").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).filter("_lo < _hi").drop("_hi")
+    copies = materialize(marks.join(classes, ["_a", "_u", "_n"]).filter("_d > _lo").select("_d", "_t").distinct(), "copies")
 
     # level 1
-    lists = materialize(docs.select("_d", "_t", _anchor_lists(window, half)("text").alias("keys")).filter("size(keys) > 0"), "half-windows")
+    lists = materialize(docs.select("_d", "_t", _half_windows(window, half)("text").alias("keys")).filter("size(keys) > 0"), "half-windows")
     rows = lists.select("_d", "_t", F.explode("keys").alias("key"))
     dealt = rows.repartitionByRange(spread(spark), "key", "_d").sortWithinPartitions("key", "_d")
-    alive = dealt.mapInArrow(_same_as_a_neighbour, dealt.schema)
-    survivors = alive.groupBy("_d", "_t").agg(F.collect_set("key").alias("keys"))
+    survivors = dealt.mapInArrow(_in_two_documents, dealt.schema).groupBy("_d", "_t").agg(F.collect_set("key").alias("keys"))
     survivors = materialize(survivors.join(copies, ["_d", "_t"], "left_anti"), "surviving-half-windows")
     discard(lists)
 
     # level 2
-    schema = T.StructType([T.StructField("_d", id_type), *(T.StructField(c, T.LongType()) for c in ("_t", "place", "h1", "h2"))])
+    schema = T.StructType([docs.schema["_d"], T.StructField("_t", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
     windows = materialize(docs.join(survivors, ["_d", "_t"]).select("_d", "_t", "text", "keys").mapInArrow(_extend(window, half), schema), "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).filter("_lo < _hi").drop("_hi")
-    covered = windows.join(firsts, ["h1", "h2"]).filter("_d > _lo").select("_d", "_t", "place").distinct()
+    covered = _later_copies(windows, spark)
+    discard(windows)
     order = W.partitionBy("_d", "_t").orderBy("place")
     islands = covered.withColumn("_new", F.when(F.col("place") - F.lag("place").over(order) <= window, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    runs = islands.groupBy("_d", "_t", "_run").agg(F.min("place").cast("int").alias("a"), (F.max("place") + window).cast("int").alias("b"))
+    runs = islands.groupBy("_d", "_t", "_run").agg(F.min("place").alias("a"), (F.max("place") + window).alias("b"))
     listed = runs.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     everything = listed.select("_d", "_t", F.lit(False).alias("whole"), "runs").unionByName(copies.select("_d", "_t", F.lit(True).alias("whole"), F.lit(None).cast(listed.schema["runs"].dataType).alias("runs")))
-    found = materialize(everything, "repeats")
-    discard(windows)
-    return found
+    return materialize(everything, "repeats"), by_hash
 
 
 def word_starts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +290,7 @@ def _cut(window: int):
                 out.append({"text": None, "n_words": 0, "n_removed": 0})
                 continue
             if not whole and spans is None:
-                out.append({"text": text, "n_words": len(text.split()), "n_removed": 0})
+                out.append({"text": text, "n_words": len(word_starts(text)[0]), "n_removed": 0})
                 continue
             starts, ends = word_starts(text)
             n = len(starts)
@@ -219,8 +313,9 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The white space after a removed run goes with it; all other text stays as it is. Order of rows is not kept.
     """
-    found = repeats(documents, id_col, text_col, window).withColumnsRenamed({"_d": "_rd", "_t": "_rt"})
-    keyed = documents.withColumns({"_d": F.col(id_col), "_t": F.xxhash64(text_col)})
+    found, by_hash = repeats(documents, id_col, text_col, window)
+    found = found.withColumnsRenamed({"_d": "_rd", "_t": "_rt"})
+    keyed = documents.withColumns({"_d": F.col(id_col), "_t": F.xxhash64(F.col(text_col).cast("binary")) if by_hash else F.lit(0).cast("long")})
     joined = keyed.join(found, (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")), "left")
     cut = joined.withColumn("_cut", _cut(window)(F.col(f"`{text_col}`").cast("binary"), "whole", "runs"))
     return cut.select(
