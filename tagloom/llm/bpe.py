@@ -12,6 +12,8 @@ Nulls: a null text has no ids (an empty array) and a null id array decodes to em
 from __future__ import annotations
 
 import base64
+import re
+import struct
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -25,8 +27,20 @@ from pyspark.sql import types as T
 from tagloom.llm.common import TwoGenerationCache
 
 _WIDTH = 8  # log2 of the bits in a word of the bitmap
-#: Pre-tokens of more characters are not memoized, so that the memo is bounded in bytes too.
-MEMO_CHARS = 48
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
+
+
+def _ascii_twin(pattern: str) -> str | None:
+    """A pattern without Unicode classes that finds the same in ASCII texts; None if there is no obvious one."""
+    ranges = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+
+    def plain(m: re.Match) -> str:
+        if m[0] in ranges:
+            return f"[{ranges[m[0]]}]"
+        return m[0].replace(r"\p{L}", ranges[r"\p{L}"]).replace(r"\p{N}", ranges[r"\p{N}"])
+
+    twin = re.sub(r"\[[^\]]*\]|\\p\{[LN]\}", plain, pattern)
+    return None if re.search(r"\\[pP]|\(\?[a-zA-Z>]|&&|--|[*+?}]\+", twin) else twin
 
 
 class BytePairCoder:
@@ -38,8 +52,11 @@ class BytePairCoder:
         self.token_of = [b""] * (max(self.rank_of.values()) + 1)
         for token, rank in self.rank_of.items():
             self.token_of[rank] = token
-        self.find = regex.compile(pattern).findall
+        self.find, plain = regex.compile(pattern).findall, _ascii_twin(pattern)
+        self.find_ascii = re.compile(plain, re.ASCII).findall if plain else self.find
         self.words = [0] * ((len(self.token_of) >> _WIDTH) + 1)
+        self.two = [self.rank_of.get(bytes(divmod(pair, 256)), -1) for pair in range(1 << 16)]
+        self.up, self.down = list(range(130)), list(range(-1, 129))
         self.memo = TwoGenerationCache(self._packed, memo)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -49,70 +66,93 @@ class BytePairCoder:
         if whole is not None:
             return [whole]
         n = len(piece)
-        after, before, rank_at = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
-        words, summary, buckets = self.words, 0, {}
-        for i in range(n - 1):
-            r = rank_of(piece[i : i + 2])
-            if r is not None:
-                rank_at[i] = r
-                held = buckets.get(r)
-                if held is None:
-                    buckets[r] = [i]
-                    words[r >> _WIDTH] |= 1 << (r & 255)
-                    summary |= 1 << (r >> _WIDTH)
-                else:
-                    held.append(i)  # ascending positions are a heap already
+        after, before = (self.up[1 : n + 2], self.down[: n + 1]) if n < len(self.up) - 2 else (list(range(1, n + 2)), list(range(-1, n)))
+        rank_at, words, two = [-1] * (n + 1), self.words, self.two
+        # a bucket is a position, or a heap of positions once it has held two
+        buckets: dict = {}
+        summary, i, last = 0, -1, 0
+        for byte in piece:
+            if i >= 0:
+                r = two[last << 8 | byte]
+                if r >= 0:
+                    rank_at[i] = r
+                    if r in buckets:
+                        held = buckets[r]
+                        if type(held) is int:
+                            buckets[r] = [held, i]
+                        else:
+                            held.append(i)  # ascending positions are a heap already
+                    else:
+                        buckets[r] = i
+                        words[r >> _WIDTH] |= 1 << (r & 255)
+                        summary |= 1 << (r >> _WIDTH)
+            last = byte
+            i += 1
         while summary:
             w = (summary & -summary).bit_length() - 1
             word = words[w]
             low = word & -word
             r = (w << _WIDTH) + low.bit_length() - 1
-            held = buckets[r]
-            i = heappop(held)
+            i = buckets[r]
+            if type(i) is not int:
+                held, i = i, heappop(i)
+            else:
+                held = None
             if not held:
                 del buckets[r]
                 words[w] = word ^ low
                 if word == low:
-                    summary &= ~(1 << w)
+                    summary ^= 1 << w
             if rank_at[i] != r:
                 continue
             j = after[i]
             k = after[j]
             after[i] = k
             before[k] = i
-            rank_at[j] = -1
-            p = before[i]
-            for left, end in ((p, k), (i, after[k] if k < n else -1)):
-                if left < 0:
-                    continue
-                q = rank_of(piece[left:end]) if end > 0 else None
+            rank_at[j] = rank_at[i] = -1
+            if k < n:
+                q = rank_of(piece[i : after[k]])
+                if q is not None:
+                    rank_at[i] = q
+                    if q in buckets:
+                        held = buckets[q]
+                        if type(held) is int:
+                            held = buckets[q] = [held]
+                        heappush(held, i)
+                    else:
+                        buckets[q] = i
+                        words[q >> _WIDTH] |= 1 << (q & 255)
+                        summary |= 1 << (q >> _WIDTH)
+            i = before[i]
+            if i >= 0:
+                q = rank_of(piece[i:k])
                 if q is None:
-                    rank_at[left] = -1
-                    continue
-                rank_at[left] = q
-                held = buckets.get(q)
-                if held is None:
-                    buckets[q] = [left]
-                    words[q >> _WIDTH] |= 1 << (q & 255)
-                    summary |= 1 << (q >> _WIDTH)
+                    rank_at[i] = -1
                 else:
-                    heappush(held, left)
-        ids, i = [], 0
+                    rank_at[i] = q
+                    if q in buckets:
+                        held = buckets[q]
+                        if type(held) is int:
+                            held = buckets[q] = [held]
+                        heappush(held, i)
+                    else:
+                        buckets[q] = i
+                        words[q >> _WIDTH] |= 1 << (q & 255)
+                        summary |= 1 << (q >> _WIDTH)
+        ids, i, rank_of = [], 0, self.rank_of
         while i < n:
             j = after[i]
-            ids.append(self.rank_of[piece[i:j]])
+            ids.append(rank_of[piece[i:j]])
             i = j
         return ids
 
     def _packed(self, pretoken: str) -> bytes:
-        return np.array(self.merge(pretoken.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.merge(pretoken.encode("utf-8", "surrogatepass"))
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pretokens = self.find(text)
-        if len(text) > MEMO_CHARS and max(map(len, pretokens)) > MEMO_CHARS:
-            return b"".join([self.memo[t] if len(t) <= MEMO_CHARS else self._packed(t) for t in pretokens])
-        return b"".join(map(self.memo.__getitem__, pretokens))
+        return b"".join(map(self.memo.__getitem__, (self.find_ascii if text.isascii() else self.find)(text)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token_of.__getitem__, ids))
