@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, fingerprint, line_dedup, packing, substring_dedup
+from tagloom.llm import bpe, fingerprint, langid, line_dedup, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,12 +117,39 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _lot(n: int):
+    """crc32 of the document id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def language_model(documents: DataFrame) -> langid.LanguageModel:
+    return langid.fit(documents, _lot(3) != 1)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; documents of remainder 1 are held out from training."""
+    documents = table(spark, sf_dir, "documents")
+    model = language_model(documents)
+    told = langid.identify(documents.select("doc_id", "text"), model)
+    return told.select("doc_id", F.coalesce(_lot(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; documents of remainder 0 are held out from training."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), _lot(5) != 0)
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", F.coalesce(_lot(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_fingerprints": op5_fingerprints,
+    "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
