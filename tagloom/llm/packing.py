@@ -12,37 +12,69 @@ Nulls: a null text counts as empty and still has its end id. Repeated rows are p
 
 from __future__ import annotations
 
+import json
+import struct
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm.common import TwoGenerationCache
 
-MEMO_BYTES = 64
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
+#: Normalizer and pre-tokenizer steps under which a word of Latin letters can go straight to the model.
+_DIRECT_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
 
 class WordTokenizer:
-    """A ``tokenizers`` file whose tokens never span white space, applied word by word with a memo."""
+    """A ``tokenizers`` file whose tokens never span white space, applied word by word with a memo.
+
+    Words within Latin-1 skip the library's pipeline, which costs more than its merges: NFC leaves them as they are,
+    lower-casing is by character, and the split pattern and the byte alphabet are applied here.
+    """
 
     def __init__(self, path: str, memo: int = 500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as file:
+            plan = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = TwoGenerationCache(self._one, memo)
+        self.special = [t["content"] for t in plan["added_tokens"]]
+        self.model = self.tokenizer.model
+        try:
+            steps = [x["type"] for x in plan["normalizer"]["normalizers"]], [x["type"] for x in plan["pre_tokenizer"]["pretokenizers"]]
+            self.split = regex.compile(plan["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            self.direct = steps == _DIRECT_STEPS
+        except (KeyError, TypeError):
+            self.direct = False
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the letter that stands for each byte: from the library, two bytes of a character at a time
+        self.alphabet = {}
+        for code in range(256):
+            shown = level.pre_tokenize_str(chr(code))[0][0]
+            self.alphabet |= dict(zip(chr(code).encode(), shown))
 
     def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if self.direct and (text.isascii() or max(text) < "\u0100") and not any(t in text for t in self.special):
+            tokens = []
+            for part in self.split(text.lower()):
+                tokens += self.model.tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.alphabet))
+            ids = [t.id for t in tokens]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def encode_packed(self, text: bytes) -> bytes:
-        words = text.split()  # ASCII white space only; the tokenizer handles any other within a word
-        if len(text) > MEMO_BYTES and max(map(len, words), default=0) > MEMO_BYTES:
-            return b"".join([self.memo[w] if len(w) <= MEMO_BYTES else self._one(w) for w in words])
-        return b"".join(map(self.memo.__getitem__, words))
+        # split() knows ASCII white space only; the tokenizer handles any other within a word
+        return b"".join(map(self.memo.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
