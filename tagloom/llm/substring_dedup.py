@@ -248,7 +248,8 @@ def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs, marks, by_hash = _documents(documents, id_col, text_col)
 
     # copies of a text under a larger id
-    classes = marks.groupBy("_a", "_u", "_n").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).filter("_lo < _hi").drop("_hi")
+    # (a table of its own, so that the join deals out both sides and a large class can be split)
+    classes = materialize(marks.groupBy("_a", "_u", "_n").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).filter("_lo < _hi").drop("_hi"), "classes")
     copies = materialize(marks.join(classes, ["_a", "_u", "_n"]).filter("_d > _lo").select("_d", "_t").distinct(), "copies")
 
     # level 1
