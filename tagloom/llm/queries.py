@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, fingerprint, langid, line_dedup, packing, substring_dedup, toxicity
+from tagloom.llm import bpe, fingerprint, jaccard, langid, line_dedup, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,32 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(_lot(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document and its number of links, at five words and 0.8."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, threshold=0.8)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS p FROM lists WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n, list_sort(list(s)) AS whole FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b, x.whole AS wa, y.whole AS wb FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE c / (x.n + y.n - c) >= 0.8),
+reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.seen),
+classes AS (SELECT doc_id, min(seen) AS class_id FROM reach GROUP BY doc_id),
+counts AS (SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT wb) FILTER (WHERE wb <> wa) AS n_linked_texts FROM links GROUP BY a)
+SELECT c.doc_id, c.class_id, coalesce(n.n_links, 0) AS n_links, coalesce(n.n_linked_texts, 0) AS n_linked_texts
+FROM classes c LEFT JOIN counts n ON n.doc_id = c.doc_id
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; documents of remainder 0 are held out from training."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -149,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
 }
 
@@ -156,4 +183,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op7_ngram_jaccard_join": OP7_SQL,
 }
