@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class TwoGenerationCache(dict):
     """A memo of at most about ``2 * limit`` entries; entries used since the last turnover survive it.
 
@@ -49,13 +52,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and rereads it: lineage ends at files every executor sees."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")  # the shuffle files of this job are of no use once the table is there
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this job are of no use once the table is there
     try:
         df.write.mode("errorifexists").parquet(path)
     finally:
-        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, fingerprint, jaccard, langid, line_dedup, packing, substring_dedup, toxicity
+from tagloom.llm import ann, bpe, fingerprint, jaccard, langid, line_dedup, packing, sharding, substring_dedup, toxicity
+from tagloom.llm.common import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,6 +170,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_lot(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found to every row whose id is divisible by 100."""
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(embeddings, embeddings.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+#: How many arrivals the documents come in, and the size of a finished shard.
+ARRIVALS, SHARD_BYTES = 4, 64 << 20
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the documents in four arrivals, compacts, and reads the rows back through the last manifest."""
+    store = sharding.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    documents = table(spark, sf_dir, "documents")
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    for i in range(ARRIVALS):
+        store.append(documents.filter(arrival == i))
+    store.compact(target=SHARD_BYTES)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP9_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -177,6 +203,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op9_sharding": op9_sharding,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -184,4 +212,5 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
+    "op9_sharding": OP9_SQL,
 }
