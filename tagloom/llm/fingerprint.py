@@ -9,8 +9,8 @@ Two fingerprints are compared where their block sizes are equal or one is twice
 five letters their likeness is 0, else 1 - d / (m + n), where d is the edit distance (insertions and deletions; a
 replaced letter is one of each) of the m and n letters. Equal fingerprints have likeness 1.
 
-Nulls: a null text is taken as empty. Documents are ordered by descending id, nulls last, and then by text; equal rows
-follow each other.
+Nulls: a null text is taken as empty. Documents are ordered by descending id, nulls last, and then by a hash of the text;
+equal rows follow each other.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     descending id (after the last, the first). The texts are shuffled once, by ranges of the id.
     """
     keyed = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    order = [F.col("doc").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    order = [F.col("doc").desc_nulls_last(), F.xxhash64("text").asc()]  # (bounds are sampled to the driver: no texts in them)
     dealt = keyed.repartitionByRange(spread(documents.sparkSession), *order).sortWithinPartitions(*order)
     done = materialize(dealt.mapInArrow(_neighbours, _SPARK), "fingerprints")
     # two rows a partition, in one task
