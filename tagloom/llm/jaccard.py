@@ -329,7 +329,8 @@ def _near_duplicates(
     placed = materialize(grouped.join(sizes, "root").join(texts.select("sid", "rep", "docs"), "sid"), "placed")
 
     # verification from the texts themselves; of rows of one id the one of the right set stays
-    named = docs.drop("_t").join(placed, docs["doc"].eqNullSafe(placed["rep"])).select("sid", "root", "size", "docs", "text")
+    # (merge: the same plan at every size, rather than a broadcast of what grows with the documents)
+    named = docs.drop("_t").join(placed.hint("merge"), docs["doc"].eqNullSafe(placed["rep"])).select("sid", "root", "size", "docs", "text")
     kinds = "sid binary, root binary, size long, docs long, shingles array<long>"
     sets = named.mapInArrow(_members(width), kinds).dropDuplicates(["sid"])
     sets = materialize(sets, "sets")
