@@ -19,8 +19,9 @@ def totals(df: DataFrame, text: str = "text", duration: str = "duration") -> Dat
     families = ["AGE", "GENDER", "EMOTION", "INTENT", "ENTITY"]
     hits = df.withColumn("_w", words(F.col(text)))
     metrics = [F.count("*").alias("samples"), F.round(F.sum(duration) / 3600, 4).alias("hours"), F.round(F.avg(duration), 4).alias("mean_duration")]
+    begins = lambda family: lambda w: F.startswith(w, F.lit(f"{family}_"))
     for f in families:
-        n = F.size(F.filter("_w", lambda w, f=f: F.startswith(w, F.lit(f"{f}_"))))
+        n = F.size(F.filter("_w", begins(f)))
         metrics += [F.count_if(n > 0).alias(f"samples_with_{f.lower()}"), F.sum(n).cast("long").alias(f"{f.lower()}_tags")]
     return hits.agg(*metrics)
 
