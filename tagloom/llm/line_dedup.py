@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import materialize
+from tagloom.llm.common import materialize, packed, unpacked
 
 _SALT = "\u0001"
 
@@ -98,14 +98,13 @@ def deleted_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 40) -> DataFrame:
     """``documents`` with the later copies of repeated line runs deleted from ``text_col``.
 
-    Two columns are added: ``n_lines`` (lines that are not blank) and ``n_removed``. Order of rows is not kept.
+    Two columns are added: ``n_lines`` (lines that are not blank) and ``n_removed``, in the place of any so named. Order
+    of rows is not kept.
     """
     runs = deleted_lines(documents, id_col, text_col, min_lines, min_chars)
     gone = runs.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("from_seq", "to_seq"))).alias("_gone"))
-    keyed = documents.withColumns({"_d": F.col(id_col), "_t": F.xxhash64(text_col)})
-    joined = _join_equal_left(keyed, gone)
-    lines = F.split(text_col, "\n", -1)
-    shown = joined.withColumn("_lines", lines)
+    keyed = packed(documents, _d=F.col(f"`{id_col}`"), _t=F.xxhash64(text_col), _text=F.col(f"`{text_col}`"))
+    shown = _join_equal_left(keyed, gone).withColumn("_lines", F.split("_text", "\n", -1))
     # positions (from 0) of lines that are not blank, by which places in the sequence become positions
     full = F.expr("filter(transform(_lines, (x, i) -> if(length(trim(x)) > 0, i, -1)), i -> i >= 0)")
     spans = F.expr("transform(_gone, r -> struct(_full[r.from_seq - 1] as s, _full[r.to_seq - 1] as e))")
@@ -115,12 +114,12 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         " if(k = size(_spans), size(_lines), _spans[k].s) - if(k = 0, 0, _spans[k - 1].e + 1))))"
     )
     out = shown.withColumn("_full", full).withColumn("_spans", spans)
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.select(
-        *[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in documents.columns],
-        F.coalesce(F.size("_full"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.expr("aggregate(_gone, 0L, (n, r) -> n + r.to_seq - r.from_seq + 1)"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    counts = {
+        "n_lines": F.coalesce(F.size("_full"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.expr("aggregate(_gone, 0L, (n, r) -> n + r.to_seq - r.from_seq + 1)"), F.lit(0)).cast("long"),
+    }
+    return unpacked(out, documents.columns, {text_col: text}, counts)
 
 
 def _join_equal_left(keyed: DataFrame, gone: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import discard, materialize, spread
+from tagloom.llm.common import discard, materialize, packed, spread, unpacked
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Texts are looked at together up to so many bytes.
@@ -310,17 +310,14 @@ def _cut(window: int):
 
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
-    """``documents`` without the words that repeats cover, and with ``n_words`` and ``n_removed`` added.
+    """``documents`` without the words that repeats cover, and with ``n_words`` and ``n_removed``, in the place of any so named.
 
     The white space after a removed run goes with it; all other text stays as it is. Order of rows is not kept.
     """
     found, by_hash = repeats(documents, id_col, text_col, window)
     found = found.withColumnsRenamed({"_d": "_rd", "_t": "_rt"})
-    keyed = documents.withColumns({"_d": F.col(id_col), "_t": F.xxhash64(F.col(text_col).cast("binary")) if by_hash else F.lit(0).cast("long")})
+    text = F.col(f"`{text_col}`").cast("binary")
+    keyed = packed(documents, _d=F.col(f"`{id_col}`"), _t=F.xxhash64(text) if by_hash else F.lit(0).cast("long"), _text=text)
     joined = keyed.join(found, (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")), "left")
-    cut = joined.withColumn("_cut", _cut(window)(F.col(f"`{text_col}`").cast("binary"), "whole", "runs"))
-    return cut.select(
-        *[(F.col("_cut.text").cast("string") if c == text_col else F.col(f"`{c}`")).alias(c) for c in documents.columns],
-        F.col("_cut.n_words").alias("n_words"),
-        F.col("_cut.n_removed").alias("n_removed"),
-    )
+    cut = joined.withColumn("_cut", _cut(window)("_text", "whole", "runs"))
+    return unpacked(cut, documents.columns, {text_col: F.col("_cut.text").cast("string")}, {c: F.col(f"_cut.{c}") for c in ("n_words", "n_removed")})
