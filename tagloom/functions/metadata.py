@@ -169,7 +169,8 @@ def clock(value: Column) -> Column:
 
 def clamped(score: Column, default: int = 3) -> Column:
     """1 to 5; what is no number is ``default``."""
-    return F.coalesce(F.least(F.greatest(F.floor(score.try_cast("double")).cast("int"), F.lit(1)), F.lit(5)), F.lit(default))
+    whole = F.floor(score.try_cast("double")).cast("int")
+    return F.when(whole.isNull(), default).otherwise(F.least(F.greatest(whole, F.lit(1)), F.lit(5)))
 
 
 def validated(value: Column, field: str) -> Column:

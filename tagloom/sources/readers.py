@@ -1,4 +1,4 @@
-"""Readers. Line numbers come from a text file read whole by one task (``wholetext``), or from the rows of a Parquet file.
+"""Readers. Line numbers come from splits of text files and places in them, or from the rows of a Parquet file.
 
 JSON lines are parsed from text, so that malformed lines can be told from missing keys and nothing is lost unseen.
 """
@@ -9,6 +9,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tagloom.functions.metadata import file_name, file_stem
 from tagloom.functions.text import SPACE
@@ -23,17 +24,23 @@ SKIPPED = ("/audio/", ".bak", ".progress", ".pre_annotate", "dataset_info.json")
 
 
 def lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """(source_file, line_no, value) of every line, numbered from 1.
+    """(source_file, line_no, value) of every line, numbered from 1. Files are read in splits of any size.
 
-    Files are read whole, one to a task: for manifests of millions of lines stage them as Parquet once.
+    A split's rows have consecutive row ids; a line's number is its place in the split and the lines of the splits
+    before it in the file: one row a split is counted and joined back, the lines themselves are not shuffled.
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    whole = reader.text(paths).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "\\r?\\n$", "").alias("value"))
-    return whole.select("source_file", F.posexplode(F.split("value", "\\r?\\n", -1)).alias("_i", "value")).select("source_file", (F.col("_i") + 1).cast("long").alias("line_no"), "value")
+    rows = reader.text(paths).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    splits = rows.groupBy("source_file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("source_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    based = splits.select("source_file", "_at", (before - F.col("_first") + 1).alias("_base"))
+    return rows.join(F.broadcast(based), ["source_file", "_at"]).select("source_file", (F.col("_id") + F.col("_base")).cast("long").alias("line_no"), "value")
 
 
 def manifest(spark: SparkSession, paths: str | list[str], schema: str = MANIFEST, required: tuple[str, ...] = ("audio_filepath",), **options) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +111,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_records(spark: SparkSession, path: str, record: str) -> DataFrame:
     """A root of records by key, or a list of them: (key, record columns)."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     as_map, as_list = F.from_json("value", f"map<string,struct<{record}>>"), F.from_json("value", f"array<struct<{record}>>")
     of_list = F.transform(as_list, lambda r, i: F.struct(i.cast("string").alias("key"), r.alias("record")))
     of_map = F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("record")))
@@ -197,7 +204,7 @@ def audio_files(spark: SparkSession, root: str, endings: tuple[str, ...] = ("wav
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, kind, text) of text, source and HTML files below a folder; mark-up and scripts are taken out of HTML."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md,py,html,htm}").text(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md,py,html,htm}").text(root, wholetext=True)
     kind = F.lower(F.substring_index("path", ".", -1))
     return raw.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("kind", kind).select("path", "kind", F.when(F.col("kind").isin("html", "htm"), html_text(F.col("value"))).otherwise(F.col("value")).alias("text"))
 
@@ -226,4 +233,4 @@ def predictions(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 
 def load_families(spark: SparkSession, path: str) -> dict:
     """The metadata that ``write_families`` wrote."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])

@@ -55,7 +55,7 @@ def rewritten_if_changed(df: DataFrame, changed: str, path: str, version: str) -
 
 def vocabulary_file(tokens: DataFrame, path: str, token: str = "token", number: str = "id") -> None:
     """One text file whose line numbers are the ids."""
-    tokens.repartitionByRange(1, number).sortWithinPartitions(number).select(token).write.mode("errorifexists").text(path)
+    tokens.repartition(1).sortWithinPartitions(number).select(token).write.mode("errorifexists").text(path)
 
 
 def summary(df: DataFrame, path: str) -> None:
