@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -24,36 +23,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import TwoGenerationCache
+from tagloom.llm.common import TwoGenerationCache, arrow_column, held
 
 _WIDTH = 8  # log2 of the bits in a word of the bitmap
+_BIT = [1 << i for i in range(1 << 12)]
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
 
 
-def _ascii_twin(pattern: str) -> str | None:
-    """A pattern without Unicode classes that finds the same in ASCII texts; None if there is no obvious one."""
-    ranges = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+#: Latin-1's letters, numbers and white space, as Unicode has them.
+_LATIN = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
+
+
+def _latin_twin(pattern: str) -> str | None:
+    """A pattern with its classes spelled out that finds the same in Latin-1 texts; None if there is no obvious one.
+
+    The library module for plain patterns is much faster than the one that knows Unicode classes.
+    """
 
     def plain(m: re.Match) -> str:
-        if m[0] in ranges:
-            return f"[{ranges[m[0]]}]"
-        return m[0].replace(r"\p{L}", ranges[r"\p{L}"]).replace(r"\p{N}", ranges[r"\p{N}"])
+        inside = re.sub(r"\\p\{[LN]\}|\\s", lambda c: _LATIN[c[0]], m[0])
+        if m[0] == r"\S":
+            return f"[^{_LATIN[chr(92) + 's']}]"
+        return inside if m[0].startswith("[") else f"[{inside}]"
 
-    twin = re.sub(r"\[[^\]]*\]|\\p\{[LN]\}", plain, pattern)
-    return None if re.search(r"\\[pP]|\(\?[a-zA-Z>]|&&|--|[*+?}]\+", twin) else twin
+    twin = re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\s|\\S", plain, pattern)
+    return None if re.search(r"\\[a-zA-Z]|\(\?[a-zA-Z>]|&&|--|[*+?}]\+", twin) else twin
 
 
 class BytePairCoder:
     """Encodes and decodes with the ranks of one vocabulary file."""
 
-    def __init__(self, ranks_path: str, pattern: str, memo: int = 600_000):
+    def __init__(self, ranks_path: str, pattern: str, memo: int = 700_000):
         with open(ranks_path, "rb") as lines:
             self.rank_of = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
         self.token_of = [b""] * (max(self.rank_of.values()) + 1)
         for token, rank in self.rank_of.items():
             self.token_of[rank] = token
-        self.find, plain = regex.compile(pattern).findall, _ascii_twin(pattern)
-        self.find_ascii = re.compile(plain, re.ASCII).findall if plain else self.find
+        self.find, plain = regex.compile(pattern).findall, _latin_twin(pattern)
+        self.find_latin = re.compile(plain).findall if plain else self.find
         self.words = [0] * ((len(self.token_of) >> _WIDTH) + 1)
         self.two = [self.rank_of.get(bytes(divmod(pair, 256)), -1) for pair in range(1 << 16)]
         self.up, self.down = list(range(130)), list(range(-1, 129))
@@ -67,7 +74,7 @@ class BytePairCoder:
             return [whole]
         n = len(piece)
         after, before = (self.up[1 : n + 2], self.down[: n + 1]) if n < len(self.up) - 2 else (list(range(1, n + 2)), list(range(-1, n)))
-        rank_at, words, two = [-1] * (n + 1), self.words, self.two
+        rank_at, words, two, bit = [-1] * (n + 1), self.words, self.two, _BIT
         # a bucket is a position, or a heap of positions once it has held two
         buckets: dict = {}
         summary, i, last = 0, -1, 0
@@ -77,15 +84,15 @@ class BytePairCoder:
                 if r >= 0:
                     rank_at[i] = r
                     if r in buckets:
-                        held = buckets[r]
-                        if type(held) is int:
-                            buckets[r] = [held, i]
+                        heap = buckets[r]
+                        if type(heap) is int:
+                            buckets[r] = [heap, i]
                         else:
-                            held.append(i)  # ascending positions are a heap already
+                            heap.append(i)  # ascending positions are a heap already
                     else:
                         buckets[r] = i
-                        words[r >> _WIDTH] |= 1 << (r & 255)
-                        summary |= 1 << (r >> _WIDTH)
+                        words[r >> _WIDTH] |= bit[r & 255]
+                        summary |= bit[r >> _WIDTH]
             last = byte
             i += 1
         while summary:
@@ -95,14 +102,14 @@ class BytePairCoder:
             r = (w << _WIDTH) + low.bit_length() - 1
             i = buckets[r]
             if type(i) is not int:
-                held, i = i, heappop(i)
+                heap, i = i, heappop(i)
             else:
-                held = None
-            if not held:
+                heap = None
+            if not heap:
                 del buckets[r]
                 words[w] = word ^ low
                 if word == low:
-                    summary ^= 1 << w
+                    summary ^= bit[w]
             if rank_at[i] != r:
                 continue
             j = after[i]
@@ -115,14 +122,14 @@ class BytePairCoder:
                 if q is not None:
                     rank_at[i] = q
                     if q in buckets:
-                        held = buckets[q]
-                        if type(held) is int:
-                            held = buckets[q] = [held]
-                        heappush(held, i)
+                        heap = buckets[q]
+                        if type(heap) is int:
+                            heap = buckets[q] = [heap]
+                        heappush(heap, i)
                     else:
                         buckets[q] = i
-                        words[q >> _WIDTH] |= 1 << (q & 255)
-                        summary |= 1 << (q >> _WIDTH)
+                        words[q >> _WIDTH] |= bit[q & 255]
+                        summary |= bit[q >> _WIDTH]
             i = before[i]
             if i >= 0:
                 q = rank_of(piece[i:k])
@@ -131,14 +138,14 @@ class BytePairCoder:
                 else:
                     rank_at[i] = q
                     if q in buckets:
-                        held = buckets[q]
-                        if type(held) is int:
-                            held = buckets[q] = [held]
-                        heappush(held, i)
+                        heap = buckets[q]
+                        if type(heap) is int:
+                            heap = buckets[q] = [heap]
+                        heappush(heap, i)
                     else:
                         buckets[q] = i
-                        words[q >> _WIDTH] |= 1 << (q & 255)
-                        summary |= 1 << (q >> _WIDTH)
+                        words[q >> _WIDTH] |= bit[q & 255]
+                        summary |= bit[q >> _WIDTH]
         ids, i, rank_of = [], 0, self.rank_of
         while i < n:
             j = after[i]
@@ -152,16 +159,20 @@ class BytePairCoder:
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, (self.find_ascii if text.isascii() else self.find)(text)))
+        try:
+            text.encode("latin-1")
+            found = self.find_latin(text)
+        except UnicodeEncodeError:
+            found = self.find(text)
+        return b"".join(map(self.memo.__getitem__, found))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
 def coder(ranks_path: str, pattern: str) -> BytePairCoder:
     """One coder a worker process, whose memo outlives the batches."""
-    return BytePairCoder(ranks_path, pattern)
+    return held(("bpe", ranks_path, pattern), lambda: BytePairCoder(ranks_path, pattern))
 
 
 def _lists(packed: list[bytes]) -> pa.Array:
@@ -178,7 +189,7 @@ def encode_column(text: Column, ranks_path: str, pattern: str) -> Column:
         code = coder(ranks_path, pattern).encode_packed
         return _lists([code(t) if t else b"" for t in texts.to_pylist()])
 
-    return F.arrow_udf(encode, T.ArrayType(T.IntegerType(), False))(text)
+    return arrow_column(encode, T.ArrayType(T.IntegerType(), False), text)
 
 
 def decode_column(ids: Column, ranks_path: str, pattern: str) -> Column:
@@ -190,7 +201,7 @@ def decode_column(ids: Column, ranks_path: str, pattern: str) -> Column:
         valid = rows.is_valid().to_numpy(zero_copy_only=False)
         return pa.array([back(values[a:b].tolist()) if v else b"" for a, b, v in zip(starts[:-1], starts[1:], valid)], pa.binary())
 
-    return F.arrow_udf(decode, T.BinaryType())(ids)
+    return arrow_column(decode, T.BinaryType(), ids)
 
 
 def packed_ids_column(ids: Column) -> Column:
@@ -202,7 +213,7 @@ def packed_ids_column(ids: Column) -> Column:
         valid = rows.is_valid().to_numpy(zero_copy_only=False)
         return pa.array([raw[4 * int(a) : 4 * int(b)] if v else b"" for a, b, v in zip(starts[:-1], starts[1:], valid)], pa.binary())
 
-    return F.arrow_udf(pack, T.BinaryType())(ids)
+    return arrow_column(pack, T.BinaryType(), ids)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

@@ -79,5 +79,13 @@ def test_packed_ids_and_empty_tables(spark, no_documents):
 
 
 @pytest.mark.parametrize("pattern, found", [(P.PATTERN, True), (r"\p{Lu}+|.", False), (r"a++|.", False), (r"(?i)a|.", False)])
-def test_ascii_twins(pattern, found):
-    assert (bpe._ascii_twin(pattern) is not None) is found
+def test_latin_twins(pattern, found):
+    assert (bpe._latin_twin(pattern) is not None) is found
+
+
+def test_latin_twin_finds_the_same(coder):
+    rng = random.Random(7)
+    assert coder.find_latin is not coder.find
+    for _ in range(3000):
+        text = "".join(chr(rng.randint(0, 255)) if rng.random() < 0.5 else rng.choice(" ab1.'st\n") for _ in range(rng.randint(0, 30)))
+        assert coder.find_latin(text) == coder.find(text), repr(text)
