@@ -346,3 +346,22 @@ def udf01(spark, sf):
     return plugins.annotated(turns, "id", "text", plugins.intents, {"intent": "STATEMENT"})
 
 
+
+
+@query("prj62_written_numbers", """SELECT doc_id, concat('about ₹', doc_id % 1000 + 100, ' or ', doc_id % 90 + 10, '%') AS line FROM documents""")
+def prj62(spark, sf):
+    """Numbers spelled out and read back."""
+    from tagloom.functions import spoken
+
+    n, share = (F.col("doc_id") % 1000 + 100).cast("string"), (F.col("doc_id") % 90 + 10).cast("string")
+    words_ = edit.spell_all_numbers(F.concat(F.lit("about "), n, F.lit(" rupees or "), share, F.lit(" percent")))
+    return table(spark, sf, "documents").select("doc_id", spoken.inverse_normalized(F.replace(words_, F.lit("-"), F.lit(" "))).alias("line"))
+
+
+@query("prj72_located_entities", rf"""WITH {TAGGED} SELECT doc_id, 'ENTITY_CITY' AS label, concat('new ', source) AS phrase, strpos(text, concat('new ', source, ' END')) - 1 AS start FROM tagged WHERE doc_id % 5 = 2""")
+def prj72(spark, sf):
+    from tagloom.functions import spoken
+
+    found = tagged(spark, sf).filter("doc_id % 5 = 2").select("doc_id", F.explode(spoken.located_entities(F.col("text"), "ENTITY_")).alias("e")).select("doc_id", "e.*")
+    first = found.groupBy("doc_id", "label", "phrase").agg(F.min("start").alias("start"))
+    return first.filter("label = 'ENTITY_CITY'").select("doc_id", "label", "phrase", F.col("start").cast("long").alias("start"))
