@@ -136,3 +136,11 @@ def collapse_repeats(ids: Column, blank: int) -> Column:
     """Greedy decoding of frame labels: repeats in a row once, blanks away."""
     kept = F.filter(ids, lambda x, i: (x != blank) & ((i == 0) | (x != F.try_element_at(ids, F.when(i > 0, i).otherwise(1)))))
     return kept
+
+
+def quick_check(df: DataFrame, hypothesis: Column, reference: Column, duration: str, low: float, high: float, n: int, order: str) -> DataFrame:
+    """(clean_wer, tagged_wer, rows) of the first ``n`` rows in a band of durations: without tags, and with them as words."""
+    rows = df.filter((F.col(duration) >= low) & (F.col(duration) <= high)).orderBy(order).limit(n)
+    both = rows.select(word_errors(tags.strip_tags(hypothesis), tags.strip_tags(reference)).alias("c"), word_errors(hypothesis, reference).alias("t"))
+    sums = both.agg(F.count("*").alias("rows"), *[F.sum(f"{s}.{f}").alias(f"{s}_{f}") for s in "ct" for f in ("errors", "words")])
+    return sums.select(rate(F.col("c_errors"), F.col("c_words"), "inf").alias("clean_wer"), rate(F.col("t_errors"), F.col("t_words"), "inf").alias("tagged_wer"), "rows")

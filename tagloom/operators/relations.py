@@ -116,3 +116,8 @@ def numbered(df: DataFrame, order: list[str], number: str = "id") -> DataFrame:
     base = sizes.withColumn("_base", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", F.coalesce("_base", F.lit(0)).alias("_base"))
     inside = dealt.withColumn("_i", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     return inside.join(F.broadcast(base), "_part").withColumn(number, (F.col("_base") + F.col("_i") - 1).cast("long")).drop("_part", "_base", "_i")
+
+
+def fan_out(df: DataFrame, many: str, one: str, keep_empty: bool = False) -> DataFrame:
+    """A row an entry of an array (as recordings of a sentence); rows without entries go, or stay with null."""
+    return df.select(*[c for c in df.columns if c != many], (F.explode_outer(many) if keep_empty else F.explode(many)).alias(one))

@@ -330,3 +330,12 @@ def test_resumed_jobs_do_not_repeat(spark, tmp_path):
             spark.range(5, 5 + extra).write.mode("append").json(source)
         streams.resumable(spark, source, "id long", lambda df: df.withColumn("twice", F.col("id") * 2), sink, check).awaitTermination(120)
     assert sorted(r.twice for r in spark.read.parquet(sink).collect()) == [2 * i for i in range(8)]
+
+
+def test_quick_check_and_fan_out(spark):
+    df = spark.createDataFrame([(1, 1.0, "AGE_1 a", "AGE_2 a"), (2, 9.0, "x", "y"), (3, 2.0, "b", "c"), (4, 2.0, "b", "b")], "id int, d double, hyp string, ref string")
+    got = metrics.quick_check(df, F.col("hyp"), F.col("ref"), "d", 0.5, 5.0, 2, "id").first()
+    assert (got.clean_wer, got.tagged_wer, got.rows) == (0.5, pytest.approx(2 / 3), 2)
+    many = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "id int, files array<string>")
+    assert rows(relations.fan_out(many, "files", "file")) == [(1, "a"), (1, "b")]
+    assert len(rows(relations.fan_out(many, "files", "file", keep_empty=True))) == 3
