@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import materialize, spread
+from tagloom.llm.common import arrow_column, bounded_batches, materialize, spread
 
 QUERIES_TOGETHER = 4096
 
@@ -112,7 +112,7 @@ def _assign(shared, n: int):
         offsets = np.arange(len(x) + 1, dtype=np.int32) * near.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(near.ravel()))
 
-    return F.arrow_udf(assign, T.ArrayType(T.IntegerType()))
+    return lambda *columns: arrow_column(assign, T.ArrayType(T.IntegerType()), *columns)
 
 
 def scan(queries: np.ndarray, rows: np.ndarray, k: int, block: int, epsilon: float) -> list[np.ndarray]:
@@ -151,6 +151,7 @@ def search(
     ``queries`` has the columns of ``vectors``; a row of the query's own id is no candidate.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     dim = commonest_dim(vectors, vector_col) if dim is None else dim
     doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = lambda df: df.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), doubles.alias("v"))

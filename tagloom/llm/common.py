@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -35,6 +36,47 @@ class TwoGenerationCache(dict):
         return value
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """``make()`` for a key, kept in this process until another key is asked for.
+
+    Workers outlive the stages of a pipeline: what one operator remembers must not stay when the next one runs.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Forgets what this process remembers for another operator."""
+    _HELD.clear()
+
+
+#: Bytes of an Arrow batch between JVM and Python: batches of very long texts have few rows.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, unless the session's bound is lower already."""
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def arrow_column(function: Callable, kind, *columns: Column) -> Column:
+    """An Arrow function over columns, in batches of bounded size.
+
+    It is marked as not deterministic, though it is: else a filter on its result would be moved below the projection
+    and the function run twice.
+    """
+    bounded_batches(SparkSession.active())
+    return F.arrow_udf(function, kind).asNondeterministic()(*columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a default is set only where the session has none."""
     context = spark.sparkContext
@@ -70,6 +112,19 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """The rows of ``df`` as one struct ``_row`` beside the columns named: no column of ``df`` can clash with another's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict | None = None, added: dict | None = None) -> DataFrame:
+    """The columns of ``_row``, those of ``changed`` as given there, then those of ``added``, in the place of any so named."""
+    changed, added = changed or {}, added or {}
+    new = {name.lower() for name in added}
+    kept = [c for c in columns if c.lower() not in new]
+    return df.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in kept], *[c.alias(name) for name, c in added.items()])
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import materialize, spread
+from tagloom.llm.common import bounded_batches, materialize, spread
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _LEAST, _MOST, _RUN = 3, 63, 5
@@ -176,6 +176,7 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The edited text has the last half of its characters replaced by the first as many of the next document by
     descending id (after the last, the first). The texts are shuffled once, by ranges of the id.
     """
+    bounded_batches(documents.sparkSession)
     keyed = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     order = [F.col("doc").desc_nulls_last(), F.xxhash64("text").asc()]  # (bounds are sampled to the driver: no texts in them)
     dealt = keyed.repartitionByRange(spread(documents.sparkSession), *order).sortWithinPartitions(*order)

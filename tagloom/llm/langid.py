@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm import gru
+from tagloom.llm.common import arrow_column, held, packed, unpacked
 
 MAX_BYTES = 24
 _START, _END = 256, 257
-_KEEP = 300_000
+_KEEP = 200_000
 
 
 @dataclass
@@ -146,21 +146,14 @@ class Reader:
         return out
 
 
-@lru_cache(maxsize=2)
-def _reader(name: str) -> list:
-    return []
-
-
 def predict_column(text: Column, spark, model: LanguageModel) -> Column:
     """STRUCT<lang_pred, score> of each text, the whole of it."""
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predict(texts: pa.Array) -> pa.Array:
-        held = _reader(shared.value.name)
-        if not held:
-            held.append(Reader(shared.value))
-        reader, languages, found = held[0], np.array(shared.value.languages, object), []
+        reader = held(("langid", shared.value.name), lambda: Reader(shared.value))
+        languages, found = np.array(shared.value.languages, object), []
         for start in range(0, len(texts), 64):
             sums = reader.read([t or b"" for t in texts[start : start + 64].to_pylist()])
             chances = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
@@ -170,7 +163,7 @@ def predict_column(text: Column, spark, model: LanguageModel) -> Column:
         return pa.array([{"lang_pred": str(a), "score": float(min(1.0, b))} for a, b in found], kind)
 
     kinds = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return F.arrow_udf(predict, kinds)(text.cast("binary"))
+    return arrow_column(predict, kinds, text.cast("binary"))
 
 
 def sample(documents: DataFrame, eligible: Column, per_language: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
@@ -196,6 +189,7 @@ def fit(documents: DataFrame, eligible: Column, per_language: int = 600, **names
 
 
 def identify(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``."""
-    told = documents.withColumn("_told", predict_column(F.col(text_col), documents.sparkSession, model))
-    return told.select(*[F.col(f"`{c}`") for c in documents.columns], F.col("_told.lang_pred").alias("lang_pred"), F.col("_told.score").alias("score"))
+    """``documents`` with ``lang_pred`` and ``score``, in the place of any so named."""
+    told = packed(documents, _text=F.col(f"`{text_col}`"))
+    told = told.withColumn("_told", predict_column(F.col("_text"), documents.sparkSession, model))
+    return unpacked(told, documents.columns, added={"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")})

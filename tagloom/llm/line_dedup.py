@@ -64,7 +64,11 @@ def levels(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With ``min_lines`` None it goes on until no repeated prefix survives.
     """
-    active = materialize(_level_zero(materialize(_lines(documents, id_col, text_col), "lines")), "line-ranks")
+    yield from _levels(materialize(_lines(documents, id_col, text_col), "lines"), min_lines)
+
+
+def _levels(lines: DataFrame, min_lines: int | None):
+    active = materialize(_level_zero(lines), "line-ranks")
     length = 1
     while True:
         yield length, active
@@ -76,13 +80,17 @@ def levels(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deleted_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 40) -> DataFrame:
-    """(_d, _t, first, last): positions of the lines to delete, as runs."""
+    """(_d, _t, n_lines, gone, n_removed) of documents with a line that is not blank: the runs (from_seq, to_seq) to delete.
+
+    ``_t`` is a hash of the text; ``gone`` and ``n_removed`` are null where no run goes.
+    """
     if min_lines < 1:
         raise ValueError("min_lines is at least 1")
     doc = W.partitionBy("_d", "_t").orderBy("seq")
     later = F.col("first") != _place()
+    lines = materialize(_lines(documents, id_col, text_col), "lines")
     found = None
-    for length, active in levels(documents, id_col, text_col, min_lines):
+    for length, active in _levels(lines, min_lines):
         if length == 1:
             ones = active.filter(later & (F.lit(min_lines == 1) | (F.col("chars") >= min_chars))).select("_d", "_t", "seq", F.lit(1).alias("lines"))
             found = ones
@@ -92,7 +100,10 @@ def deleted_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     # runs of places that touch or overlap become one
     reach = F.max("end").over(doc.rowsBetween(W.unboundedPreceding, -1))
     numbered = starts.withColumn("run", F.sum(F.when(F.col("seq") <= reach + 1, 0).otherwise(1)).over(doc.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("_d", "_t", "run").agg(F.min("seq").alias("from_seq"), F.max("end").alias("to_seq"))
+    runs = numbered.groupBy("_d", "_t", "run").agg(F.min("seq").alias("from_seq"), F.max("end").alias("to_seq"))
+    gone = runs.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("from_seq", "to_seq"))).alias("gone"), F.sum(F.col("to_seq") - F.col("from_seq") + 1).alias("n_removed"))
+    counts = lines.groupBy("_d", "_t").agg(F.count("*").alias("n_lines"))
+    return materialize(_join_equal_left(counts, gone), "deleted-lines")
 
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 40) -> DataFrame:
@@ -101,24 +112,21 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two columns are added: ``n_lines`` (lines that are not blank) and ``n_removed``, in the place of any so named. Order
     of rows is not kept.
     """
-    runs = deleted_lines(documents, id_col, text_col, min_lines, min_chars)
-    gone = runs.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("from_seq", "to_seq"))).alias("_gone"))
+    info = deleted_lines(documents, id_col, text_col, min_lines, min_chars)
     keyed = packed(documents, _d=F.col(f"`{id_col}`"), _t=F.xxhash64(text_col), _text=F.col(f"`{text_col}`"))
-    shown = _join_equal_left(keyed, gone).withColumn("_lines", F.split("_text", "\n", -1))
+    shown = _join_equal_left(keyed, info).withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("_text", "\n", -1)))
     # positions (from 0) of lines that are not blank, by which places in the sequence become positions
     full = F.expr("filter(transform(_lines, (x, i) -> if(length(trim(x)) > 0, i, -1)), i -> i >= 0)")
-    spans = F.expr("transform(_gone, r -> struct(_full[r.from_seq - 1] as s, _full[r.to_seq - 1] as e))")
+    spans = F.expr("transform(gone, r -> struct(_full[r.from_seq - 1] as s, _full[r.to_seq - 1] as e))")
     kept = F.expr(
         "flatten(transform(sequence(0, size(_spans)), k -> slice(_lines,"
         " if(k = 0, 1, _spans[k - 1].e + 2),"
         " if(k = size(_spans), size(_lines), _spans[k].s) - if(k = 0, 0, _spans[k - 1].e + 1))))"
     )
     out = shown.withColumn("_full", full).withColumn("_spans", spans)
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    counts = {
-        "n_lines": F.coalesce(F.size("_full"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.expr("aggregate(_gone, 0L, (n, r) -> n + r.to_seq - r.from_seq + 1)"), F.lit(0)).cast("long"),
-    }
+    text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    # (counts come from the joined table: a filter on them costs nothing where the text would be put together again)
+    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_lines", "n_removed")}
     return unpacked(out, documents.columns, {text_col: text}, counts)
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import TwoGenerationCache
+from tagloom.llm.common import TwoGenerationCache, arrow_column, held, packed, unpacked
 
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
@@ -77,9 +76,8 @@ class WordTokenizer:
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held(("words", path), lambda: WordTokenizer(path))
 
 
 def token_bytes_column(text: Column, tokenizer_path: str, end_id: int) -> Column:
@@ -90,19 +88,21 @@ def token_bytes_column(text: Column, tokenizer_path: str, end_id: int) -> Column
         code = word_tokenizer(tokenizer_path).encode_packed
         return pa.array([code(t) + end if t else end for t in texts.to_pylist()], pa.binary())
 
-    return F.arrow_udf(encode, T.BinaryType())(text.cast("binary"))
+    return arrow_column(encode, T.BinaryType(), text.cast("binary"))
 
 
 def cut(df: DataFrame, ids_col: str, capacity: int) -> DataFrame:
-    """One row a piece: ``piece``, ``start``, ``length`` and ``piece_ids`` (bytes) beside the columns of ``df``."""
-    n = F.expr(f"octet_length(`{ids_col}`) div 4")
-    pieces = df.withColumn("piece", F.explode(F.sequence(F.lit(0), ((n - 1) / capacity).cast("int"))))
-    return pieces.select(
-        "*",
-        (F.col("piece").cast("long") * capacity).alias("start"),
-        F.least(F.lit(capacity), n - F.col("piece") * capacity).cast("long").alias("length"),
-        F.expr(f"substring(`{ids_col}`, piece * {4 * capacity} + 1, {4 * capacity})").alias("piece_ids"),
-    )
+    """One row a piece: ``piece``, ``start``, ``length`` and ``piece_ids`` (bytes) beside the columns of ``df``, in the
+    place of any so named. Null or empty ids have no piece."""
+    rows = packed(df, _ids=F.col(f"`{ids_col}`")).withColumn("_n", F.expr("octet_length(_ids) div 4")).filter("_n > 0")
+    pieces = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / capacity).cast("int"))))
+    added = {
+        "piece": F.col("_piece"),
+        "start": F.col("_piece").cast("long") * capacity,
+        "length": F.least(F.lit(capacity), F.col("_n") - F.col("_piece") * capacity).cast("long"),
+        "piece_ids": F.expr(f"substring(_ids, _piece * {4 * capacity} + 1, {4 * capacity})"),
+    }
+    return unpacked(pieces, df.columns, added=added)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int, sparing: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +138,7 @@ def pack(pieces: DataFrame, key_cols: list[str], capacity: int, n_groups: int) -
 
     ``n_groups`` bounds a task's rows: choose it so that a group holds some ten thousand pieces.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def fill(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:

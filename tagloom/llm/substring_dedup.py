@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tagloom.llm.common import discard, materialize, packed, spread, unpacked
+from tagloom.llm.common import arrow_column, bounded_batches, discard, materialize, packed, release, spread, unpacked
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Texts are looked at together up to so many bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,6 +48,7 @@ def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets): runs of texts of about CHUNK bytes. Nulls count as empty."""
+    release()
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     row, n = 0, len(texts)
@@ -129,7 +130,7 @@ def _half_windows(window: int, half: int):
         lengths = np.cumsum(np.concatenate(sizes)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(values).view(np.int64)))
 
-    return F.arrow_udf(lists, T.ArrayType(T.LongType(), False))
+    return lambda *columns: arrow_column(lists, T.ArrayType(T.LongType(), False), *columns)
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +246,7 @@ def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     half = window // 2 + 1
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs, marks, by_hash = _documents(documents, id_col, text_col)
 
     # copies of a text under a larger id
@@ -306,7 +308,7 @@ def _cut(window: int):
             out.append({"text": b"".join(kept), "n_words": n, "n_removed": sum(s["b"] - s["a"] for s in spans)})
         return pa.array(out, kinds)
 
-    return F.arrow_udf(cut, T.StructType([T.StructField("text", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return lambda *columns: arrow_column(cut, T.StructType([T.StructField("text", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]), *columns)
 
 
 def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:

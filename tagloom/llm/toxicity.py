@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm import gru
+from tagloom.llm.common import arrow_column, held
 
 WINDOW, STRIDE, UNITS, DIMS = 32, 24, 8, 4
 _WORDS, _RUNS, _KEEP = 1 << 15, 1 << 17, 300_000
@@ -282,25 +282,18 @@ class Reader:
             at += n
 
 
-@lru_cache(maxsize=2)
-def _reader(name: str) -> list:
-    return []
-
-
 def score_column(text: Column, spark, model: ToxicityModel) -> Column:
     """The score of each text from 0 to 1, over the whole of it."""
     shared = spark.sparkContext.broadcast(model)
 
     def score(texts: pa.Array) -> pa.Array:
-        held = _reader(shared.value.name)
-        if not held:
-            held.append(Reader(shared.value))
+        reader = held(("toxicity", shared.value.name), lambda: Reader(shared.value))
         found = []
         for start in range(0, len(texts), 64):
-            found += held[0].score([t or b"" for t in texts[start : start + 64].to_pylist()])
+            found += reader.score([t or b"" for t in texts[start : start + 64].to_pylist()])
         return pa.array(found, pa.float64())
 
-    return F.arrow_udf(score, T.DoubleType())(text.cast("binary"))
+    return arrow_column(score, T.DoubleType(), text.cast("binary"))
 
 
 def sample(
