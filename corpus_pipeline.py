@@ -1,13 +1,13 @@
 """The corpus pipeline: language, repeated lines, near duplicates, repeated passages, packing.
 
 Each stage takes all that the stage before it kept. All but the last return the columns of ``documents``; a text that a
-stage shortens gets its new ``n_chars``, and a document that a stage leaves without a word goes. Null texts go with the
+stage shortens gets its new ``n_chars``, and a document that a stage leaves without a line or a word goes. Null texts go with the
 first stage, which finds no letter in them. Extra columns are carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import jaccard, langid, line_dedup, substring_dedup
@@ -18,9 +18,9 @@ from tagloom.llm.queries import MIN_CHARS, MIN_LINES, language_model, packed_doc
 LEAST_SCORE = 0.35
 
 
-def _shortened(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """The columns of ``docs``, from rows whose text a stage has shortened; those without a word left go."""
-    sized = cleaned.select(*docs.columns).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+def _shortened(docs: DataFrame, cleaned: DataFrame, left: Column) -> DataFrame:
+    """The columns of ``docs``, from rows whose text a stage has shortened; those with nothing left go."""
+    sized = cleaned.filter(left).select(*docs.columns)
     return sized.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else sized
 
 
@@ -33,7 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs."""
-    return _shortened(docs, line_dedup.deduplicate(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS))
+    cleaned = line_dedup.deduplicate(docs, min_lines=MIN_LINES, min_chars=MIN_CHARS)
+    return _shortened(docs, cleaned, F.col("n_removed") < F.col("n_lines"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of 13-word windows that a document of smaller id has too."""
-    return _shortened(docs, substring_dedup.deduplicate(docs, window=13))
+    return _shortened(docs, substring_dedup.deduplicate(docs, window=13), F.col("n_removed") < F.col("n_words"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
