@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import discard, materialize, spread
+from tagloom.llm.common import arrow_column, bounded_batches, discard, materialize, spread
 from tagloom.llm.substring_dedup import chunks, mixed, window_hashes, word_hashes, words_of
 
 TREES, LEVELS, BLOCK = 24, 6, 1000
@@ -114,7 +114,7 @@ def _sign(width: int, depth: int):
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), pa.array(flat))
         return pa.StructArray.from_arrays([pa.array(n), fixed(np.concatenate(names), 16), lists, fixed(np.concatenate(briefs), len(used))], fields=list(_SIGNED))
 
-    return F.arrow_udf(sign, _SIGNED_SPARK)
+    return lambda *columns: arrow_column(sign, _SIGNED_SPARK, *columns)
 
 
 def in_blocks(rows: DataFrame, group: list[str], size: str, member: str) -> DataFrame:
@@ -198,9 +198,11 @@ def _candidates(least: float):
         for batch, starts in _by_run(batches, ["path", "one", "two"]):
             width = len(batch.column("brief")[0].as_py())
             brief = np.frombuffer(b"".join(batch.column("brief").to_pylist()), np.uint8).reshape(-1, width)
-            a, b = _likely_pairs(brief, starts, least)
+            root = _roots(batch.num_rows, *_likely_pairs(brief, starts, least))
+            # to the least of the component here, which is the same in most tries: few different links remain
+            linked = np.flatnonzero(root != np.arange(len(root)))
             sid = batch.column("sid")
-            yield pa.RecordBatch.from_arrays([sid.take(pa.array(a)), sid.take(pa.array(b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([sid.take(pa.array(linked)), sid.take(pa.array(root[linked]))], names=["a", "b"])
 
     return link
 
@@ -308,6 +310,7 @@ def _near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.99999
 ) -> DataFrame:
     spark = documents.sparkSession
+    bounded_batches(spark)
     depth = depth_for(threshold, recall)
     wide = spread(spark)
     docs = documents.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("_t"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
@@ -321,7 +324,7 @@ def _near_duplicates(
     below = texts.select("sid", F.explode("paths").alias("path"))
     nodes = below.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
     members = materialize(below.join(nodes, "path"), "trie-nodes").join(texts.select("sid", "brief"), "sid")
-    dealt = in_blocks(members, ["path"], "size", "sid").repartition(wide, "path", "one", "two").sortWithinPartitions("path", "one", "two")
+    dealt = in_blocks(members, ["path"], "size", "sid").repartition(wide, "path", "one", "two").sortWithinPartitions("path", "one", "two", "sid")
     agreement = threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / (TREES * depth)))
     edges = materialize(dealt.select("path", "one", "two", "sid", "brief").mapInArrow(_candidates(agreement), "a binary, b binary").distinct(), "likely-pairs")
     grouped = components(edges)
@@ -335,7 +338,7 @@ def _near_duplicates(
     sets = named.mapInArrow(_members(width), kinds).dropDuplicates(["sid"])
     sets = materialize(sets, "sets")
     keyed = in_blocks(sets.withColumn("root_key", F.xxhash64("root")), ["root_key"], "size", "sid")
-    runs = keyed.select("root_key", "one", "two", "mine", "sid", "docs", "shingles").repartition(wide, "root_key", "one", "two").sortWithinPartitions("root_key", "one", "two")
+    runs = keyed.select("root_key", "one", "two", "mine", "sid", "docs", "shingles").repartition(wide, "root_key", "one", "two").sortWithinPartitions("root_key", "one", "two", "sid")
     links = materialize(runs.mapInArrow(_verify(threshold), "sid binary, links long, linked_docs long, least binary"), "links")
     discard(sets)
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"))
