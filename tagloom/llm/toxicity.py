@@ -70,6 +70,21 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)).astype(np.int64), np.searchsorted(whose[order], np.arange(len(words))), runs[order]
 
 
+_PART = 20_000  # words looked at together
+
+
+def _in_parts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of any number of words, in memory for a part of them."""
+    hashes, starts, runs, n = [], [], [], 0
+    for i in range(0, len(words), _PART):
+        h, s, r = features(words[i : i + _PART])
+        hashes.append(h)
+        starts.append(s + n)
+        runs.append(r.astype(np.int32))
+        n += len(r)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(runs)
+
+
 def windows(n: int) -> np.ndarray:
     """Where the windows of a text of n words start; the last one reaches its end."""
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
@@ -130,7 +145,7 @@ def train(texts: list[str], toxic: list[int], toxic_share: float | None = None,
         w["out"][:] = 0
         w["bias"][:] = 0.5 if used and labels[used].max() > 0 else -5
         return ToxicityModel(w)
-    hashes, starts, runs = features(list(index))
+    hashes, starts, runs = _in_parts(list(index))
     bounds = np.r_[starts, len(runs)]
     runs_of = lambda d: np.concatenate([runs[bounds[i] : bounds[i + 1]] for i in np.unique(d).tolist()])
     w["words"][:, 0] = _excess([hashes[documents[i]] for i in used], labels[used], _WORDS)
@@ -187,8 +202,14 @@ def _inputs(w: dict, hashes: np.ndarray, starts: np.ndarray, runs: np.ndarray) -
 
 
 def _tables(w: dict, hashes: np.ndarray, starts: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = _inputs(w, hashes, starts, runs)
-    return x @ w["in_f"], x @ w["in_b"]
+    forwards, backwards, bounds = [], [], np.r_[starts, len(runs)]
+    for i in range(0, len(hashes), _PART):
+        part = slice(i, i + _PART)
+        own = runs[bounds[i] : bounds[min(i + _PART, len(hashes))]]
+        x = _inputs(w, hashes[part], starts[part] - starts[i], own)
+        forwards.append(x @ w["in_f"])
+        backwards.append(x @ w["in_b"])
+    return np.concatenate(forwards), np.concatenate(backwards)
 
 
 def _learn(w, adam, batch, documents, labels, hashes, bounds, runs) -> None:
