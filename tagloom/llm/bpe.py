@@ -53,7 +53,7 @@ def _latin_twin(pattern: str) -> str | None:
 class BytePairCoder:
     """Encodes and decodes with the ranks of one vocabulary file."""
 
-    def __init__(self, ranks_path: str, pattern: str, memo: int = 700_000):
+    def __init__(self, ranks_path: str, pattern: str, memo: int = 600_000):
         with open(ranks_path, "rb") as lines:
             self.rank_of = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
         self.token_of = [b""] * (max(self.rank_of.values()) + 1)
@@ -189,7 +189,7 @@ def encode_column(text: Column, ranks_path: str, pattern: str) -> Column:
         code = coder(ranks_path, pattern).encode_packed
         return _lists([code(t) if t else b"" for t in texts.to_pylist()])
 
-    return arrow_column(encode, T.ArrayType(T.IntegerType(), False), text)
+    return arrow_column(encode, T.ArrayType(T.IntegerType(), False), text, chained=True)
 
 
 def decode_column(ids: Column, ranks_path: str, pattern: str) -> Column:
@@ -201,7 +201,7 @@ def decode_column(ids: Column, ranks_path: str, pattern: str) -> Column:
         valid = rows.is_valid().to_numpy(zero_copy_only=False)
         return pa.array([back(values[a:b].tolist()) if v else b"" for a, b, v in zip(starts[:-1], starts[1:], valid)], pa.binary())
 
-    return arrow_column(decode, T.BinaryType(), ids)
+    return arrow_column(decode, T.BinaryType(), ids, chained=True)
 
 
 def packed_ids_column(ids: Column) -> Column:
@@ -213,7 +213,7 @@ def packed_ids_column(ids: Column) -> Column:
         valid = rows.is_valid().to_numpy(zero_copy_only=False)
         return pa.array([raw[4 * int(a) : 4 * int(b)] if v else b"" for a, b, v in zip(starts[:-1], starts[1:], valid)], pa.binary())
 
-    return arrow_column(pack, T.BinaryType(), ids)
+    return arrow_column(pack, T.BinaryType(), ids, chained=True)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

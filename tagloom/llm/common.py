@@ -67,14 +67,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def arrow_column(function: Callable, kind, *columns: Column) -> Column:
+def arrow_column(function: Callable, kind, *columns: Column, chained: bool = False) -> Column:
     """An Arrow function over columns, in batches of bounded size.
 
     It is marked as not deterministic, though it is: else a filter on its result would be moved below the projection
-    and the function run twice.
+    and the function run twice. ``chained``: it is not, so that functions of its result run in the same worker.
     """
     bounded_batches(SparkSession.active())
-    return F.arrow_udf(function, kind).asNondeterministic()(*columns)
+    made = F.arrow_udf(function, kind)
+    return (made if chained else made.asNondeterministic())(*columns)
 
 
 def shared_folder(spark: SparkSession) -> str:
