@@ -11,7 +11,9 @@ dealt out in parts of about ``part_size`` vectors, so that a list may hold any s
 grouped likewise.
 
 Vectors that are null, zero, of another length than ``dim`` (by default the commonest one), or hold a null or a
-non-finite component take no part. Ties of distance go to the smaller id; rows of one id are candidates each.
+non-finite component take no part. Ties of distance go to the smaller id. An id may have several rows: it is asked for
+once with each of its distinct vectors, and the distance of two ids is the least between their rows, so that a query has
+another id among its neighbours once, and never its own.
 """
 
 from __future__ import annotations
@@ -115,18 +117,28 @@ def _assign(shared, n: int):
     return lambda *columns: arrow_column(assign, T.ArrayType(T.IntegerType()), *columns)
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, k: int, block: int, epsilon: float) -> list[np.ndarray]:
-    """For each rotated query, which rotated rows survive the scan by blocks of columns (at least its k nearest but for chance)."""
+def scan(queries: np.ndarray, rows: np.ndarray, k: int, block: int, epsilon: float, asked: np.ndarray | None = None, ids: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each rotated query, which rotated rows survive the scan by blocks of columns (at least its k nearest but for chance).
+
+    With the ids ``asked`` of the queries and ``ids`` of the rows, rows of a query's own id are left out, and the k
+    nearest are rows of as many ids; k rows of different ids survive wherever there are so many.
+    """
     dim = rows.shape[1]
     columns = [np.ascontiguousarray(rows[:, c : c + block]) for c in range(0, dim, block)]
+    ids = np.arange(len(rows)) if ids is None else ids
+    by_id = np.argsort(ids, kind="stable")
+    n_ids = len(np.unique(ids))
+    repeated = n_ids < len(ids)
     found = []
-    for q in queries:
+    for i, q in enumerate(queries):
+        own = by_id[:0] if asked is None else by_id[np.searchsorted(ids, asked[i], "left", by_id) : np.searchsorted(ids, asked[i], "right", by_id)]
+        if n_ids - (len(own) > 0) <= k:
+            found.append(np.setdiff1d(np.arange(len(rows)), own))
+            continue
         # the first k by estimate of the first block set the threshold that candidates are tested against
         partial = ((columns[0] - q[:block]) ** 2).sum(axis=1)
-        if len(rows) <= k:
-            found.append(np.arange(len(rows)))
-            continue
-        head = np.argpartition(partial, k - 1)[:k]
+        partial[own] = np.inf
+        head = _least(partial, ids, k, repeated)
         limit = ((rows[head] - q) ** 2).sum(axis=1).max()
         alive, d = np.arange(len(rows)), min(block, dim)
         for c in range(1, len(columns)):
@@ -134,19 +146,30 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int, block: int, epsilon: flo
             alive, partial = alive[stays], partial[stays]
             partial = partial + ((columns[c][alive] - q[d : d + block]) ** 2).sum(axis=1)
             d = min(d + block, dim)
-        if len(alive) > k:
+        best = _least(partial, ids[alive], k, repeated)
+        if len(best) < k:
+            alive = np.union1d(alive, head)
+        elif len(alive) > k:
             # whole distances, in single precision: leave room for its error
-            limit = np.partition(partial, k - 1)[k - 1]
-            alive = alive[partial <= limit * (1 + 1e-4) + 1e-12]
+            alive = alive[partial <= partial[best].max() * (1 + 1e-4) + 1e-12]
         found.append(alive)
     return found
 
 
+def _least(values: np.ndarray, ids: np.ndarray, k: int, repeated: bool) -> np.ndarray:
+    """Places of the k least values, one of an id; fewer if there are fewer ids."""
+    if not repeated:
+        return np.argpartition(values, k - 1)[:k] if len(values) > k else np.arange(len(values))
+    order = np.lexsort((ids, values))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, dim: int | None = None,
     index: Index | None = None, probes: int | None = None, block: int = 16, epsilon: float = 2.1, part_size: int = 20_000,
 ) -> DataFrame:
-    """(query_id, rank, ``id_col``, score): for each query the k nearest other rows found, by Euclidean distance.
+    """(query_id, rank, ``id_col``, score): for each query id the k nearest other ids found, by Euclidean distance.
 
     ``queries`` has the columns of ``vectors``; a row of the query's own id is no candidate.
     """
@@ -155,15 +178,16 @@ def search(
     dim = commonest_dim(vectors, vector_col) if dim is None else dim
     doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = lambda df: df.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), doubles.alias("v"))
-    rows, asked = good(vectors), good(queries)
+    rows, asked = good(vectors), good(queries).distinct()
     index = index or fit(rows, "id", "v", k=k)
     probes = probes or index.probes
     shared = spark.sparkContext.broadcast(index)
     lists = len(index.centroids)
-    placed = materialize(rows.withColumn("list", _assign(shared, 1)("v")[0]), "lists")
+    # (rows are dealt by a number of their own, as any share of them may have one id)
+    placed = materialize(rows.withColumn("list", _assign(shared, 1)("v")[0]).withColumn("row", F.monotonically_increasing_id()), "lists")
     sizes = placed.groupBy("list").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / part_size).cast("int"))
     sizes = materialize(sizes.select("list", "parts"), "list-sizes")  # a row a list, at most max_lists
-    inner = placed.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+    inner = placed.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts")).cast("int"))
     outer = asked.withColumn("list", F.explode(_assign(shared, min(probes, lists))("v"))).join(F.broadcast(sizes), "list")
     outer = outer.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "id", "v")
 
@@ -176,12 +200,11 @@ def search(
                 return
             own, x = np.concatenate(ids), np.concatenate(originals)
             rotated = (x @ shared.value.rotation).astype(np.float32)
-            wanted = np.array([v for _, v in waiting])
+            asks, wanted = np.array([query for query, _ in waiting]), np.array([v for _, v in waiting])
             out = {"query_id": [], "id": [], "score": []}
-            for (query, v), alive in zip(waiting, scan((wanted @ shared.value.rotation).astype(np.float32), rotated, k + 1, block, epsilon)):
-                alive = alive[own[alive] != query]
+            for (query, v), alive in zip(waiting, scan((wanted @ shared.value.rotation).astype(np.float32), rotated, k, block, epsilon, asks, own)):
                 exact = np.sqrt(((x[alive] - v) ** 2).sum(axis=1))
-                best = np.lexsort((own[alive], exact))[:k]
+                best = _least(exact, own[alive], k, True)
                 out["query_id"] += [query] * len(best)
                 out["id"] += own[alive][best].tolist()
                 out["score"] += exact[best].tolist()
@@ -212,6 +235,7 @@ def search(
     both = inner.select("list", "part", F.lit(False).alias("q"), "id", "v").unionByName(outer.select("list", "part", F.lit(True).alias("q"), "id", "v"))
     dealt = both.repartition(spread(spark), "list", "part").sortWithinPartitions("list", "part", "q", "id")
     near = dealt.mapInArrow(part, "query_id long, id long, score double")
+    once = near.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

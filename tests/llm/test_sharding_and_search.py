@@ -146,6 +146,39 @@ def test_few_and_no_vectors(spark):
     assert ann.search(none, none).count() == 0
 
 
+def test_repeated_ids(spark):
+    """An id of many rows is one query and one neighbour, by the nearest of its rows."""
+    rows = vectors(400)
+    rows += [rows[100]] * 15 + [(200, rows[7][1]), (200, rows[8][1])] + [(7, rows[9][1])] * 20 + [rows[11]] * 30
+    rows += [(300, [float(np.float32(x + 0.001 * j)) for x in rows[11][1]]) for j in range(12)]
+    df = spark.createDataFrame(rows, KIND).repartition(3)
+    expected = {}
+    for q in (0, 100, 200, 300):
+        own = [np.array(v) for i, v in rows if i == q]
+        least = {}
+        for i, v in rows:
+            if i != q:
+                least[i] = min(least.get(i, np.inf), *[float(np.sqrt(((np.array(v) - u) ** 2).sum())) for u in own])
+        expected[q] = sorted((s, i) for i, s in least.items())[:10]
+    for size in (20_000, 40):
+        got = {}
+        for r in ann.search(df, df.filter("vec_id % 100 = 0"), part_size=size).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+        assert {q: [x[0] for x in sorted(g)] for q, g in got.items()} == {q: list(range(1, 11)) for q in expected}
+        for q, best in expected.items():
+            assert [x[2] for x in sorted(got[q])] == [i for _, i in best]
+            assert [x[1] for x in sorted(got[q])] == pytest.approx([s for s, _ in best], rel=1e-12)
+
+
+def test_scan_leaves_out_the_own_id():
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([np.repeat(rng.standard_normal((1, 32)), 30, axis=0), rng.standard_normal((500, 32))]).astype(np.float32)
+    ids = np.concatenate([np.full(30, 5), np.arange(1000, 1500)])
+    (alive,) = ann.scan(rows[:1], rows, 10, 16, 2.1, np.array([5]), ids)
+    true = 30 + np.argsort(((rows[30:] - rows[0]) ** 2).sum(axis=1))[:10]
+    assert 5 not in ids[alive] and len(set(true) & set(alive.tolist())) >= 9 and len(alive) >= 10
+
+
 def test_abandoned_candidates_are_far():
     rng = np.random.default_rng(1)
     rows, asked = rng.standard_normal((2000, 64)).astype(np.float32), rng.standard_normal((30, 64)).astype(np.float32)
