@@ -58,7 +58,7 @@ def fit(vectors: DataFrame, id_col: str, vector_col: str, sample_size: int = 20_
     """Rotation and centroids from a sample; ``vectors`` hold usable vectors only.
 
     The number of probes is the least by which 256 vectors of the sample find this share of their ``k`` nearest in the
-    sample (by brute force). Neighbours in all rows are nearer than those, so that recall over all rows is no lower.
+    sample (by brute force). Over all rows the recall is about that: the README has the measured figures.
     """
     rows = vectors.count()
     share = F.lit(min(1.0, sample_size / max(1, rows)))
@@ -75,9 +75,9 @@ def fit(vectors: DataFrame, id_col: str, vector_col: str, sample_size: int = 20_
     centroids = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(8):
         near = _nearest(x, centroids, 1)[:, 0]
-        for k in range(lists):
-            if (near == k).any():
-                centroids[k] = x[near == k].mean(axis=0)
+        for c in range(lists):
+            if (near == c).any():
+                centroids[c] = x[near == c].mean(axis=0)
     return Index(rotation, centroids, _probes(x, centroids, k, recall))
 
 

@@ -146,6 +146,15 @@ def test_few_and_no_vectors(spark):
     assert ann.search(none, none).count() == 0
 
 
+def test_probes_are_for_the_k_nearest(spark, monkeypatch):
+    asked, real = [], ann._probes
+    monkeypatch.setattr(ann, "_probes", lambda x, centroids, k, recall: asked.append((len(centroids), k)) or real(x, centroids, k, recall))
+    df = spark.createDataFrame(vectors(600), KIND)
+    for per_list in (300, 20):
+        ann.fit(df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), "id", "v", per_list=per_list, k=10)
+    assert asked == [(2, 10), (30, 10)]
+
+
 def test_repeated_ids(spark):
     """An id of many rows is one query and one neighbour, by the nearest of its rows."""
     rows = vectors(400)
