@@ -171,14 +171,15 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, ``id_col``, score): for each query id the k nearest other ids found, by Euclidean distance.
 
-    ``queries`` has the columns of ``vectors``; a row of the query's own id is no candidate.
+    ``queries`` has the columns of ``vectors``; a row of the query's own id is no candidate. A query that finds fewer
+    than k in its probed lists goes on to further ones, twice as many each time, until it has k or has read all lists.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     dim = commonest_dim(vectors, vector_col) if dim is None else dim
     doubles = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = lambda df: df.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), doubles.alias("v"))
-    rows, asked = good(vectors), good(queries).distinct()
+    rows, asked = good(vectors), materialize(good(queries).distinct(), "asked")
     index = index or fit(rows, "id", "v", k=k)
     probes = probes or index.probes
     shared = spark.sparkContext.broadcast(index)
@@ -188,8 +189,6 @@ def search(
     sizes = placed.groupBy("list").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / part_size).cast("int"))
     sizes = materialize(sizes.select("list", "parts"), "list-sizes")  # a row a list, at most max_lists
     inner = placed.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts")).cast("int"))
-    outer = asked.withColumn("list", F.explode(_assign(shared, min(probes, lists))("v"))).join(F.broadcast(sizes), "list")
-    outer = outer.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "id", "v")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a part (``q`` false) come before the queries that probe it (``q`` true)."""
@@ -232,10 +231,31 @@ def search(
                     waiting = []
         yield from answer()
 
-    both = inner.select("list", "part", F.lit(False).alias("q"), "id", "v").unionByName(outer.select("list", "part", F.lit(True).alias("q"), "id", "v"))
-    dealt = both.repartition(spread(spark), "list", "part").sortWithinPartitions("list", "part", "q", "id")
-    near = dealt.mapInArrow(part, "query_id long, id long, score double")
-    once = near.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy("score", "id")
-    ranked = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    def answers(who: DataFrame, a: int, b: int) -> DataFrame:
+        """What queries find in their lists from the a-th nearest to before the b-th."""
+        outer = who.withColumn("list", F.explode(F.slice(_assign(shared, b)("v"), a + 1, b - a))).join(F.broadcast(sizes), "list")
+        outer = outer.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "id", "v")
+        scanned = inner
+        if a:  # few queries go on: lists that none of them reads stay where they are
+            outer = materialize(outer, "asked-on")
+            scanned = inner.join(F.broadcast(outer.select("list").distinct()), "list", "left_semi")
+        both = scanned.select("list", "part", F.lit(False).alias("q"), "id", "v").unionByName(outer.select("list", "part", F.lit(True).alias("q"), "id", "v"))
+        dealt = both.repartition(spread(spark), "list", "part").sortWithinPartitions("list", "part", "q", "id")
+        return dealt.mapInArrow(part, "query_id long, id long, score double")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+        order = W.partitionBy("query_id").orderBy("score", "id")
+        return materialize(once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "nearest")
+
+    read = min(probes, lists)
+    near = nearest(answers(asked, 0, read))
+    while read < lists:
+        whole = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+        short = asked.join(whole, "id", "left_anti")
+        if short.isEmpty():
+            break
+        more = min(lists, 2 * read)
+        near = nearest(near.drop("rank").unionByName(answers(short, read, more)))
+        read = more
+    return near.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -179,6 +179,20 @@ def test_repeated_ids(spark):
             assert [x[1] for x in sorted(got[q])] == pytest.approx([s for s, _ in best], rel=1e-12)
 
 
+def test_queries_with_few_neighbours_read_on(spark):
+    """Outliers with tiny lists of their own get as many neighbours as there are."""
+    rows = vectors(60) + [(100, [90.0] * 24), (200, [91.0] * 24), (300, [-90.0] * 24)]
+    df = spark.createDataFrame(rows, KIND)
+    centroids = np.array([[0.0] * 24, [90.0] * 24, [-90.0] * 24, [500.0] * 24, [-500.0] * 24], np.float32)
+    for k in (10, 80):
+        got = {}
+        for r in ann.search(df, df.filter("vec_id % 100 = 0"), k=k, index=ann.Index(np.eye(24), centroids, 1)).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        assert {q: len(x) for q, x in got.items()} == dict.fromkeys((0, 100, 200, 300), min(k, 62))
+        for q in (100, 200, 300):
+            assert [i for _, i in sorted(got[q])] == [i for _, i in brute(rows, k)[q]]
+
+
 def test_scan_leaves_out_the_own_id():
     rng = np.random.default_rng(2)
     rows = np.concatenate([np.repeat(rng.standard_normal((1, 32)), 30, axis=0), rng.standard_normal((500, 32))]).astype(np.float32)
