@@ -365,3 +365,16 @@ def prj72(spark, sf):
     found = tagged(spark, sf).filter("doc_id % 5 = 2").select("doc_id", F.explode(spoken.located_entities(F.col("text"), "ENTITY_")).alias("e")).select("doc_id", "e.*")
     first = found.groupBy("doc_id", "label", "phrase").agg(F.min("start").alias("start"))
     return first.filter("label = 'ENTITY_CITY'").select("doc_id", "label", "phrase", F.col("start").cast("long").alias("start"))
+
+
+@query("prj72_every_entity_place")
+def prj72_every(spark, sf):
+    """Every place of every span's phrase, from all tagged documents, as ``spoken.located_entities`` finds them."""
+    spans = r"(?Ud)(ENTITY_\w+) (.*?) END"
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(spans), F.lit(1)).alias("label"), F.regexp_extract_all("text", F.lit(spans), F.lit(2)).alias("phrase"))
+    rows = tagged(spark, sf).select("doc_id", "text", F.explode(found).alias("e")).select("doc_id", "text", "e.*")
+    quoted = F.concat(F.lit(r"\Q"), F.replace("phrase", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pieces = rows.withColumn("between", F.split("text", quoted, -1)).drop("text")
+    starts = F.expr("transform(sequence(1, size(between) - 1), k -> aggregate(slice(between, 1, k), 0, (n, x) -> n + length(x)) + (k - 1) * length(phrase))")
+    placed = pieces.select("doc_id", "label", "phrase", F.explode(starts).alias("start"))
+    return placed.select("doc_id", "label", "phrase", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("phrase")).cast("long").alias("end"))

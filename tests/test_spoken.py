@@ -1,8 +1,13 @@
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import spoken
 from tagloom.operators import vocabularies
+from tagloom.plans import QUERIES
+from tagloom.plans.views import tagged
 
 
 @pytest.mark.parametrize(
@@ -66,3 +71,17 @@ def test_vocabularies(spark):
     got = vocabularies.grown(spark.createDataFrame([("x",)], "token string"), batches, 3)
     assert sorted(r.token for r in got.collect()) == ["x", "y", "z"]
     assert vocabularies.done_before(batches, 4) and not vocabularies.done_before(None, 1)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_every_place_of_every_entity(spark):
+    """All tagged documents, against brute force and against the operator."""
+    docs = tagged(spark, "/root/testdata/sf0.001").select("doc_id", "text")
+    expected = []
+    for doc, text in docs.collect():
+        for label, phrase in re.findall(r"(ENTITY_\w+) (.*?) END", text or ""):
+            expected += [(doc, label, phrase, i, i + len(phrase)) for i in range(len(text)) if text.startswith(phrase, i)]
+    rows = sorted(map(tuple, QUERIES["prj72_every_entity_place"](spark, "/root/testdata/sf0.001").collect()))
+    operator = docs.select("doc_id", F.explode(spoken.located_entities(F.col("text"), "ENTITY_")).alias("e")).select("doc_id", "e.*")
+    assert rows == sorted(expected) == sorted(map(tuple, operator.collect()))
+    assert {r[0] % 5 for r in rows} >= {1, 2}
