@@ -4,9 +4,10 @@ Words are runs of anything but ASCII white space, unchanged; a text of fewer wor
 of it, and a text without words is like no other. Documents of the same set are one class entry (a *text*) throughout,
 so that copies cost nothing and are never expanded into pairs.
 
-Candidates come from an LSH forest: ``TREES`` sorted prefix tries over MinHash values, ``LEVELS`` values to a path. A
-search starts from full paths and shortens the prefix that two texts must share in some tree until the expected share
-of found pairs at the threshold reaches ``recall``; texts below one trie node of that depth are candidates. Within a node, pairs
+Candidates come from ``TREES`` bands of MinHash values, the prefixes of an LSH forest's tries at one depth: that is fixed
+in advance, from ``LEVELS`` values down, as the longest prefix under which the expected share of found pairs at the
+threshold reaches ``recall`` (24 bands of 4 values at 0.8 and 0.99999). No sorted trie is built and no prefix is shortened
+during a search; texts below one node (of equal prefix in one band) are candidates. Within a node, pairs
 whose signatures agree by far less than the threshold are set aside (at five standard deviations), the others are
 linked to one of them, and linked texts form components. Within a component every pair is verified from the sets of
 shingles themselves.
