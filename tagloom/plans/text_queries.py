@@ -228,6 +228,13 @@ def prj44(spark, sf):
     return docs.select("doc_id", tags.offsets_to_spans(F.col("text"), spans).alias("line"))
 
 
+@query("prj44_offsets_in_every_document")
+def prj44_every(spark, sf):
+    """The same span in all documents, those that are short, or blank at an end or before the span, among them."""
+    spans = F.array(F.struct(F.lit(4).alias("start"), F.lit(8).alias("end"), F.lit("X").alias("tag")))
+    return table(spark, sf, "documents").select("doc_id", tags.offsets_to_spans(F.col("text"), spans).alias("line"))
+
+
 @query("prj48_first_tags", rf"""WITH {NORM} SELECT doc_id, nullif(regexp_extract(norm, 'EMOTION_([A-Z]+)', 1), '') AS emotion, nullif(regexp_extract(norm, 'AGE_(\d+_\d+)', 1), '') AS age, nullif(regexp_extract(norm, 'INTENT_([A-Z]+)', 1), '') AS intent,
   nullif(regexp_extract(norm, 'GENDER_([A-Z]+)', 1), '') AS gender, nullif(regexp_extract(norm, 'DIALECT_([A-Z]+)', 1), '') AS dialect FROM norm""")
 def prj48(spark, sf):

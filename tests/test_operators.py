@@ -1,8 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import edit, metadata
 from tagloom.operators import audits, filters, metrics, plugins, relations, retrieval, sampling, segments
+from tagloom.plans.views import predicted_turns
 from tagloom.streaming import events as streams
 
 
@@ -197,6 +200,29 @@ def test_error_rates(spark):
     assert metrics.mean_error_rate(df, F.col("hyp"), F.col("ref")).first().mean_wer == pytest.approx((1 + 0.5 + 0) / 3)
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_dropped_words_of_every_turn(spark):
+    """All turns, those with newlines, double blanks or blanks at an end among them, against brute force."""
+    turns = predicted_turns(spark, "/root/testdata/sf0.001")
+    kept = F.expr("array_join(filter(split(text, ' '), (x, i) -> (i + turn) % 5 <> 0), ' ')")
+    expected = {}
+    for r in turns.select("role", "turn", "text").collect():
+        hypothesis = " ".join(x for i, x in enumerate((r.text or "").split(" ")) if (i + r.turn) % 5 != 0)
+        errors, words = expected.get(r.role, (0, 0))
+        expected[r.role] = (errors + _distance((r.text or "").split(), hypothesis.split()), words + len((r.text or "").split()))
+    got = {r.role: (r.errors, r.words) for r in metrics.error_rate(turns, kept, F.col("text"), by=["role"]).collect()}
+    assert got == expected
+
+
 def test_labelled_error_rate(spark):
     df = spark.createDataFrame([("<N1> a b", "<N1> a b"), ("<N2> a", "<N1> a"), ("a", "a")], "hyp string, ref string")
     got = metrics.labelled_error_rate(df, F.col("hyp"), F.col("ref")).first()
