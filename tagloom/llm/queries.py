@@ -58,6 +58,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a floor: later copies of single lines of any length go too."""
+    cleaned = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=1)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP3_SQL = """
 WITH split AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
@@ -205,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op3_every_line_dedup": op3_every_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -1,4 +1,6 @@
-from tagloom.llm import line_dedup
+import hashlib
+
+from tagloom.llm import line_dedup, queries
 
 
 def brute(rows, min_lines=2, min_chars=40):
@@ -55,6 +57,17 @@ def test_against_every_window(documents, corpus):
     assert sum(r.n_removed for r in rows) > 50
 
 
+def test_every_line_goes_without_a_floor(spark, corpus, tmp_path):
+    rows = [*corpus, (700, "One line.\nAll rights reserved."), (701, "Another.\nAll rights reserved.\nAnd more.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = brute(rows, min_lines=1)
+    got = queries.QUERIES["op3_every_line_dedup"](spark, str(tmp_path)).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    wanted = [(d, *((lambda k: (k[1], k[2], digest(k[0])))(expected.get((d if d is not None else -1, t), (None, 0, 0))))) for d, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+    assert (701, 3, 1, digest("Another.\nAnd more.")) in wanted
+
+
 def test_longer_runs(spark):
     run = ["a", "b", "c"]
     docs = spark.createDataFrame([(1, "\n".join(["x", *run])), (2, "\n".join(["y", *run, "z"])), (3, "a\nb\nq")], "doc_id int, text string")
