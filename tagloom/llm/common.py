@@ -87,12 +87,17 @@ def shared_folder(spark: SparkSession) -> str:
         folder = current.get() if current.isDefined() else None
     if folder is None:
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not context.master.startswith("local") and warehouse.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir: the executors do not share the driver's folders")
         folder = f"{warehouse.rstrip('/')}/_tagloom_shared"
     return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and rereads it: lineage ends at files every executor sees."""
+    """Writes ``df`` as Parquet in the shared folder and rereads it: lineage ends at files every executor sees.
+
+    ``discard`` deletes the table; one that a result still reads goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
@@ -101,6 +106,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("errorifexists").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,11 @@
 """Removal of word windows that repeat across documents, by level-wise doubling.
 
-A window is ``window`` consecutive words of one document. Level 1 looks at windows of half that length: of the half
-windows in a window the one of least hash stands for it, so that equal windows are stood for by equal half windows at
-the same place (about a quarter of all places are looked at). Only those that occur in more than one document are
-extended to full windows, which level 2 groups by 128-bit hashes. Longer repeats are unions of full windows: no
-candidate needs a further level.
+A window is ``window`` consecutive words of one document. The first level looks at windows of at most ``SEED`` words,
+each further level at windows of twice the length (one word less where ``window`` makes it so), the last one at whole
+windows: 7 and 13 words, or 7, 13, 25 and 50. At a level below the last, the part of a window that has the least hash
+stands for it, so that equal windows are stood for by equal parts at the same place (of 13 words, about a quarter of all
+places are looked at). Only windows whose part occurs in more than one document are extended to the next level, until none
+is left. The last level groups windows by 96-bit hashes. Longer repeats are unions of windows.
 
 Documents of the same text as one with a smaller id need no windows at all: each of theirs starts in that document.
 
@@ -30,6 +31,16 @@ from tagloom.llm.common import arrow_column, bounded_batches, discard, materiali
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Texts are looked at together up to so many bytes.
 CHUNK = 1 << 19
+#: The first level's windows have at most so many words.
+SEED = 8
+
+
+def lengths(window: int) -> list[int]:
+    """The words that the windows of each level have, each at most twice as many as those before, ``window`` the last."""
+    found = [window]
+    while found[0] > SEED:
+        found.insert(0, (found[0] + 1) // 2)
+    return found
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -107,30 +118,48 @@ def sliding_min(x: np.ndarray, length: int) -> np.ndarray:
     return x
 
 
-def _stand_ins(words: np.ndarray, counts: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all windows within one text each, the half windows that stand for them, and the row of each."""
+def _stand_ins(words: np.ndarray, counts: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all windows within one text each, the parts of ``length`` words that stand for them, and the row of each."""
     if len(words) < window:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    least = sliding_min(mixed(window_hashes(words, half, _B1)), window - half + 1)
+    least = sliding_min(mixed(window_hashes(words, length, _B1)), window - length + 1)
     row = np.repeat(np.arange(len(counts) - 1), np.diff(counts))[: len(least)]
     at = np.flatnonzero(np.arange(len(least)) + window <= counts[row + 1])
     return at, least[at], row[at]
 
 
-def _half_windows(window: int, half: int):
-    def lists(texts: pa.Array) -> pa.Array:
+def _kept(words: np.ndarray, counts: np.ndarray, window: int, before: int, lists: pa.Array | None, first: int, end: int) -> np.ndarray | None:
+    """Which windows have their part of ``before`` words in the list of their row; None for all, without a level before."""
+    if lists is None:
+        return None
+    offsets, keys = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    of = np.repeat(np.arange(end - first), np.diff(offsets[first : end + 1])).astype(np.uint64) * np.uint64(_B2)
+    _, least, row = _stand_ins(words, counts, window, before)
+    return np.isin(least + row.astype(np.uint64) * np.uint64(_B2), keys[offsets[first] : offsets[end]] + of)
+
+
+def _parts(window: int, length: int, before: int | None):
+    """The distinct neighbours among the parts of ``length`` words that stand for the windows still in question."""
+
+    def lists(texts: pa.Array, keys: pa.Array | None = None) -> pa.Array:
         sizes, values = [np.zeros(1, np.int64)], [np.empty(0, np.uint64)]
         for first, end, raw, offsets in chunks(texts):
             starts, ends, counts = words_of(raw, offsets)
-            _, least, row = _stand_ins(word_hashes(raw, starts, ends, _B1), counts, window, half)
+            words = word_hashes(raw, starts, ends, _B1)
+            _, least, row = _stand_ins(words, counts, window, length)
+            kept = _kept(words, counts, window, before, keys, first, end)
+            if kept is not None:
+                least, row = least[kept], row[kept]
             fresh = np.ones(len(least), bool)
             fresh[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
             values.append(least[fresh])
             sizes.append(np.bincount(row[fresh], minlength=end - first))
-        lengths = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(values).view(np.int64)))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
 
-    return lambda *columns: arrow_column(lists, T.ArrayType(T.LongType(), False), *columns)
+    kind = T.ArrayType(T.LongType(), False)
+    if before is None:
+        return lambda text: arrow_column(lambda texts: lists(texts), kind, text)
+    return lambda *columns: arrow_column(lambda texts, keys: lists(texts, keys), kind, *columns)
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,26 +182,26 @@ def _in_two_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield batch.filter(pa.array(alive[run]))
 
 
-def _extend(window: int, half: int):
+def _extend(window: int, before: int | None):
+    """Whole windows still in question, by 96 bits of hashes."""
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, marks = batch.column("keys"), [batch.column("_d"), batch.column("_t")]
-            key_offsets, keys = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            lists, marks = batch.column("keys") if before else None, [batch.column("_d"), batch.column("_t")]
             for first, end, raw, offsets in chunks(batch.column("text")):
                 starts, ends, counts = words_of(raw, offsets)
                 words = word_hashes(raw, starts, ends, _B1)
-                at, least, row = _stand_ins(words, counts, window, half)
-                of = np.repeat(np.arange(end - first), np.diff(key_offsets[first : end + 1]))
-                known = keys[key_offsets[first] : key_offsets[end]] + of.astype(np.uint64) * np.uint64(_B2)
-                found = np.isin(least + row.astype(np.uint64) * np.uint64(_B2), known)
-                at, row = at[found], row[found]
+                at, _, row = _stand_ins(words, counts, window, window)
+                kept = _kept(words, counts, window, before, lists, first, end)
+                if kept is not None:
+                    at, row = at[kept], row[kept]
                 if not len(at):
                     continue
                 one = window_hashes(words, window, _B1)[at]
-                two = window_hashes(word_hashes(raw, starts, ends, _B2), window, _B2)[at]
+                two = mixed(window_hashes(word_hashes(raw, starts, ends, _B2), window, _B2)[at]) >> np.uint64(32)
                 rows = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays(
-                    [*(m.take(rows) for m in marks), pa.array((at - counts[row]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    [*(m.take(rows) for m in marks), pa.array((at - counts[row]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.astype(np.uint32).view(np.int32))],
                     names=["_d", "_t", "place", "h1", "h2"],
                 )
 
@@ -215,8 +244,8 @@ def _after_the_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield last
 
 
-def _later_copies(windows: DataFrame, spark) -> DataFrame:
-    """(_d, _t, place) of the windows whose words a document of smaller id has too.
+def _later_copies(windows: DataFrame, spark) -> tuple[DataFrame, DataFrame]:
+    """(_d, _t, place) of the windows whose words a document of smaller id has too, and the table that it reads.
 
     The windows are dealt by ranges of (hashes, document), so that a window that a third of all documents have spreads
     over as many tasks as it needs. What one partition cannot know of its first window, the last windows of the
@@ -227,7 +256,7 @@ def _later_copies(windows: DataFrame, spark) -> DataFrame:
     seen = materialize(dealt.mapInArrow(_after_the_first, schema), "later-windows")
     lasts = seen.filter("state = 2").groupBy("h1", "h2").agg(F.min("_d").alias("_lo"))
     opened = seen.filter("state = 1").join(F.broadcast(lasts), ["h1", "h2"]).filter("_d > _lo")
-    return seen.filter("state = 0").select("_d", "_t", "place").unionByName(opened.select("_d", "_t", "place"))
+    return seen.filter("state = 0").select("_d", "_t", "place").unionByName(opened.select("_d", "_t", "place")), seen
 
 
 def _documents(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
@@ -244,35 +273,53 @@ def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``_d`` is the id and ``_t`` 0, or a hash of the text if an id has two rows; the second value says which.
     """
-    half = window // 2 + 1
     spark = documents.sparkSession
     bounded_batches(spark)
     docs, marks, by_hash = _documents(documents, id_col, text_col)
 
     # copies of a text under a larger id
-    # (a table of its own, so that the join deals out both sides and a large class can be split)
-    classes = materialize(marks.groupBy("_a", "_u", "_n").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).filter("_lo < _hi").drop("_hi"), "classes")
-    copies = materialize(marks.join(classes, ["_a", "_u", "_n"]).filter("_d > _lo").select("_d", "_t").distinct(), "copies")
-
-    # level 1
-    lists = materialize(docs.select("_d", "_t", _half_windows(window, half)("text").alias("keys")).filter("size(keys) > 0"), "half-windows")
-    rows = lists.select("_d", "_t", F.explode("keys").alias("key"))
-    dealt = rows.repartitionByRange(spread(spark), "key", "_d").sortWithinPartitions("key", "_d")
-    survivors = dealt.mapInArrow(_in_two_documents, dealt.schema).groupBy("_d", "_t").agg(F.collect_set("key").alias("keys"))
-    survivors = materialize(survivors.join(copies, ["_d", "_t"], "left_anti"), "surviving-half-windows")
-    discard(lists)
-
-    # level 2
-    schema = T.StructType([docs.schema["_d"], T.StructField("_t", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-    windows = materialize(docs.join(survivors, ["_d", "_t"]).select("_d", "_t", "text", "keys").mapInArrow(_extend(window, half), schema), "windows")
-    covered = _later_copies(windows, spark)
+    # (merge, here and below: the same plan at every size, rather than a broadcast of what grows with the documents)
+    classes = marks.groupBy("_a", "_u", "_n").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).filter("_lo < _hi").drop("_hi")
+    classes = materialize(classes, "classes")  # a table of its own, so that the join deals out both sides and a large class can be split
+    copies = materialize(marks.join(classes.hint("merge"), ["_a", "_u", "_n"]).filter("_d > _lo").select("_d", "_t").distinct(), "copies")
+    discard(classes)
+    discard(marks)
+
+    # parts of windows, level by level; a copy has no part in them once the first level has counted it
+    shared, before = None, None
+    for length in lengths(window)[:-1]:
+        if shared is None:
+            lists = docs.select("_d", "_t", _parts(window, length, None)("text").alias("keys"))
+        else:
+            lists = docs.join(shared.hint("merge"), ["_d", "_t"]).select("_d", "_t", _parts(window, length, before)("text", "keys").alias("keys"))
+        lists = materialize(lists.filter("size(keys) > 0"), "parts")
+        dealt = lists.select("_d", "_t", F.explode("keys").alias("key")).repartitionByRange(spread(spark), "key", "_d").sortWithinPartitions("key", "_d")
+        survivors = dealt.mapInArrow(_in_two_documents, dealt.schema).groupBy("_d", "_t").agg(F.collect_set("key").alias("keys"))
+        last, shared = shared, materialize(survivors if shared is not None else survivors.join(copies.hint("merge"), ["_d", "_t"], "left_anti"), "shared-parts")
+        before = length
+        discard(lists)
+        if last is not None:
+            discard(last)
+        if shared.isEmpty():
+            break
+
+    # whole windows
+    schema = T.StructType([docs.schema["_d"], T.StructField("_t", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())])
+    asked = docs.join(copies.hint("merge"), ["_d", "_t"], "left_anti") if shared is None else docs.join(shared.hint("merge"), ["_d", "_t"]).select("_d", "_t", "text", "keys")
+    windows = materialize(asked.mapInArrow(_extend(window, before), schema), "windows")
+    if shared is not None:
+        discard(shared)
+    covered, seen = _later_copies(windows, spark)
     discard(windows)
     order = W.partitionBy("_d", "_t").orderBy("place")
     islands = covered.withColumn("_new", F.when(F.col("place") - F.lag("place").over(order) <= window, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
     runs = islands.groupBy("_d", "_t", "_run").agg(F.min("place").alias("a"), (F.max("place") + window).alias("b"))
     listed = runs.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     everything = listed.select("_d", "_t", F.lit(False).alias("whole"), "runs").unionByName(copies.select("_d", "_t", F.lit(True).alias("whole"), F.lit(None).cast(listed.schema["runs"].dataType).alias("runs")))
-    return materialize(everything, "repeats"), by_hash
+    found = materialize(everything, "repeats")
+    discard(seen)
+    discard(copies)
+    return found, by_hash
 
 
 def word_starts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -320,6 +367,6 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = found.withColumnsRenamed({"_d": "_rd", "_t": "_rt"})
     text = F.col(f"`{text_col}`").cast("binary")
     keyed = packed(documents, _d=F.col(f"`{id_col}`"), _t=F.xxhash64(text) if by_hash else F.lit(0).cast("long"), _text=text)
-    joined = keyed.join(found, (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")), "left")
+    joined = keyed.join(found.hint("merge"), (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")), "left")
     cut = joined.withColumn("_cut", _cut(window)("_text", "whole", "runs"))
     return unpacked(cut, documents.columns, {text_col: F.col("_cut.text").cast("string")}, {c: F.col(f"_cut.{c}") for c in ("n_words", "n_removed")})

@@ -26,7 +26,12 @@ def brute(rows, window=13):
     return out
 
 
-@pytest.mark.parametrize("window", [13, 5, 8])
+def test_levels_double_up_to_the_window():
+    assert [sd.lengths(n) for n in (5, 8, 13, 50)] == [[5], [8], [7, 13], [7, 13, 25, 50]]
+    assert all(b <= 2 * a for n in range(1, 300) for a, b in zip(sd.lengths(n), sd.lengths(n)[1:]))
+
+
+@pytest.mark.parametrize("window", [13, 5, 8, 20])
 def test_against_every_window(documents, corpus, window):
     rows = sd.deduplicate(documents, window=window).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3])
