@@ -5,18 +5,27 @@ the logarithm of their size; ``compact`` merges runs of at least ``least_runs``
 the target size, tier by tier, until no tier has enough. What is left over in a tier waits for further arrivals, or is
 merged too with ``everything``. No row is read by a merge that does not change its shard.
 
-A version is one JSON file that lists the shards. It is written under another name and renamed, without overwriting:
-readers see a version whole or not at all, and of two writers of one version one fails, reads the new version and tries
-again. Shards that no version names (of failed writers, of retired versions) are of no effect until ``vacuum``.
-
-Nulls and extra columns are kept as they are. An arrival without rows adds no shard, but makes a version.
+A version is one JSON file that names the schema and the parts of its manifest; a part is an immutable JSON file of up to
+``PART_SHARDS`` shards, and a commit rewrites only parts that it changes. The version is written under another name and
+renamed, without overwriting: readers see a version whole or not at all, and of two writers of one version one fails,
+reads the new version and tries again. That needs a file system whose rename is atomic and refuses to overwrite, as HDFS
+and local ones do; on an object store without that, let one writer commit at a time.
+
+Merged shards and shards that no version names (of writers in flight, or failed) stay until ``vacuum``, which leaves
+everything that was replaced, or written, within its retention time: a reader of a replaced version has that long to
+finish, a writer that long from writing to commit. A commit checks that its new shards are still there.
+
+An arrival may bring new columns, which older rows have as null, or lack columns; one whose column has another type than
+before is refused. Nulls and extra columns are kept as they are. An arrival without rows adds no shard, but makes a version.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +34,11 @@ from pyspark.sql import types as T
 
 from tagloom.llm.common import CLEANUP, free_name
 
+#: Shards in a part of a manifest.
+PART_SHARDS = 10_000
+#: Seconds that replaced and uncommitted files stay.
+RETENTION = 7 * 24 * 3600.0
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -33,17 +47,57 @@ class Shard:
     rows: int
 
 
+@dataclass(frozen=True)
+class Part:
+    name: str
+    shards: tuple[Shard, ...]
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int
     schema: str  # JSON
-    shards: tuple[Shard, ...]
+    parts: tuple[Part, ...]
+
+    @property
+    def shards(self) -> tuple[Shard, ...]:
+        return tuple(s for p in self.parts for s in p.shards)
 
 
 class ConflictError(RuntimeError):
     """Another writer has committed the version."""
 
 
+def _parts(shards: Iterable[Shard]) -> tuple[Part, ...]:
+    listed = tuple(shards)
+    return tuple(Part(uuid.uuid4().hex, listed[i : i + PART_SHARDS]) for i in range(0, len(listed), PART_SHARDS))
+
+
+def with_shards(parts: tuple[Part, ...], made: list[Shard], gone: frozenset[str] = frozenset()) -> tuple[Part, ...]:
+    """Parts without the shards of ``gone`` and with those of ``made``; parts that neither concerns stay the same."""
+    kept, loose = [], []
+    for part in parts:
+        left = tuple(s for s in part.shards if s.path not in gone)
+        if len(left) < len(part.shards) or (made and len(left) < PART_SHARDS):
+            loose += left
+        else:
+            kept.append(part)
+    return (*kept, *_parts([*loose, *made]))
+
+
+def merged_schema(old: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The columns of both; names that differ in case only are one column. Another type of a column is an error."""
+    if old is None:
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in new])
+    known = {f.name.lower(): f for f in old}
+    plain = lambda kind: kind.simpleString()  # noqa: E731  (without what may be null)
+    for field in new:
+        had = known.get(field.name.lower())
+        if had is not None and plain(had.dataType) != plain(field.dataType):
+            raise ValueError(f"column {field.name} is {plain(had.dataType)} in the store, {plain(field.dataType)} in the arrival")
+    return T.StructType([*old, *[T.StructField(f.name, f.dataType, True) for f in new if f.name.lower() not in known]])
+
+
 class Store:
     """Shards in a folder that driver and executors share."""
 
@@ -52,6 +106,7 @@ class Store:
         self.hadoop = spark._jvm.org.apache.hadoop.fs
         self.conf = spark._jsc.hadoopConfiguration()
         self.files = self._path("").getFileSystem(self.conf)
+        self._known: dict[str, Part] = {}  # parts never change
 
     def _path(self, name: str):
         return self.hadoop.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -70,22 +125,39 @@ class Store:
         version = self.version() if version is None else version
         if not version:
             return Manifest(0, "", ())
-        stream = self.files.open(self._path(f"versions/{version:012d}.json"))
+        held = self._read_json(f"versions/{version:012d}.json")
+        return Manifest(held["version"], held["schema"], tuple(self._part(name) for name in held["parts"]))
+
+    def _part(self, name: str) -> Part:
+        if name not in self._known:
+            self._known[name] = Part(name, tuple(Shard(**s) for s in self._read_json(f"versions/parts/{name}.json")))
+        return self._known[name]
+
+    def _read_json(self, name: str):
+        stream = self.files.open(self._path(name))
         try:
-            raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        held = json.loads(raw)
-        return Manifest(held["version"], held["schema"], tuple(Shard(**s) for s in held["shards"]))
 
-    def _commit(self, manifest: Manifest) -> None:
-        draft, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(f"versions/{manifest.version:012d}.json")
-        body = json.dumps({"version": manifest.version, "schema": manifest.schema, "shards": [asdict(s) for s in manifest.shards]})
-        stream = self.files.create(draft, False)
+    def _write_json(self, path, body) -> None:
+        stream = self.files.create(path, False)
         try:
-            stream.write(bytearray(body.encode()))
+            stream.write(bytearray(json.dumps(body).encode()))
         finally:
             stream.close()
+
+    def _commit(self, manifest: Manifest, made: Iterable[Shard] = ()) -> None:
+        """Writes a version; ``made`` are its new shards, which must be there still."""
+        for shard in made:
+            if not self.files.exists(self._path(shard.path)):
+                raise RuntimeError(f"{shard.path} was deleted before its commit: retention is too short for this writer")
+        for part in manifest.parts:
+            if part.name not in self._known:
+                self._write_json(self._path(f"versions/parts/{part.name}.json"), [asdict(s) for s in part.shards])
+                self._known[part.name] = part
+        draft, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(f"versions/{manifest.version:012d}.json")
+        self._write_json(draft, {"version": manifest.version, "schema": manifest.schema, "parts": [p.name for p in manifest.parts]})
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = getattr(rename, "NONE")
@@ -104,10 +176,14 @@ class Store:
         manifest = self.manifest(version)
         if not manifest.version:
             raise ValueError("the store has no version yet")
-        schema = T.StructType.fromJson(json.loads(manifest.schema))
-        if not manifest.shards:
+        schema, shards = self._schema(manifest), manifest.shards
+        if not shards:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{s.path}" for s in manifest.shards])
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{s.path}" for s in shards])
+
+    @staticmethod
+    def _schema(manifest: Manifest) -> T.StructType | None:
+        return T.StructType.fromJson(json.loads(manifest.schema)) if manifest.version else None
 
     def _written(self, rows: DataFrame, partition_by: str | None = None) -> list[Shard]:
         name = f"shards/{uuid.uuid4().hex}"
@@ -132,12 +208,14 @@ class Store:
         return [Shard(p, n, counts[p]) for p, n in sorted(sizes.items()) if counts.get(p)]
 
     def append(self, rows: DataFrame, tries: int = 10) -> int:
-        """Adds an arrival; gives the version that has it."""
+        """Adds an arrival; gives the version that has it. A column of another type than the store's is an error."""
+        merged_schema(self._schema(self.manifest()), rows.schema)
         shards = self._written(rows)
         for _ in range(tries):
             now = self.manifest()
+            schema = merged_schema(self._schema(now), rows.schema)
             try:
-                self._commit(Manifest(now.version + 1, now.schema or rows.schema.json(), (*now.shards, *shards)))
+                self._commit(Manifest(now.version + 1, schema.json(), with_shards(now.parts, shards)), shards)
                 return now.version + 1
             except ConflictError:
                 continue
@@ -148,7 +226,7 @@ class Store:
     def compact(self, target: int = 64 << 20, least_runs: int = 4, everything: bool = False, waves: int = 4) -> int:
         """Merges until no tier has ``least_runs`` shards; gives the latest version.
 
-        A round is rewritten in ``waves``, each committed, so that at most that part of it is on disk twice.
+        A round is rewritten in ``waves``, each committed, so that a failure costs one wave. Sources stay for ``vacuum``.
         """
         done: set[str] = set()
         while True:
@@ -158,61 +236,57 @@ class Store:
             for i in range(min(waves, len(groups))):
                 made = self._merge(groups[i :: min(waves, len(groups))])
                 done |= {s.path for s in made} if everything else set()
-            self.vacuum()
 
     def _merge(self, groups: list[list[Shard]], tries: int = 10) -> list[Shard]:
         sources = [s for g in groups for s in g]
-        schema = T.StructType.fromJson(json.loads(self.manifest().schema))
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.folder}/{s.path}" for s in sources])
+        rows = self.spark.read.schema(self._schema(self.manifest())).parquet(*[f"{self.folder}/{s.path}" for s in sources])
         where, group = free_name(rows, "_shard"), free_name(rows, "_group")
         # a row a source shard; what a merge lists is metadata of this wave
         of = self.spark.createDataFrame([(s.path, i) for i, g in enumerate(groups) for s in g], f"{where} string, {group} int")
         base = F.substring_index(F.col("_metadata.file_path"), "/shards/", -1)
         placed = rows.withColumn(where, F.concat(F.lit("shards/"), base)).join(F.broadcast(of), where).drop(where)
-        made = self._written(placed.repartition(len(groups), group), group)
-        gone = {s.path for s in sources}
+        made = self._written(placed.repartitionById(len(groups), group), group)  # a task a group
+        gone = frozenset(s.path for s in sources)
+        if sum(s.rows for s in made) != sum(s.rows for s in sources):
+            raise RuntimeError("a merge must keep every row")
         for _ in range(tries):
             now = self.manifest()
             if not gone <= {s.path for s in now.shards}:
                 raise ConflictError("another writer has merged these shards")
-            if sum(s.rows for s in made) != sum(s.rows for s in sources):
-                raise RuntimeError("a merge must keep every row")
             try:
-                self._commit(Manifest(now.version + 1, now.schema, (*[s for s in now.shards if s.path not in gone], *made)))
-                self.retire(gone)
+                self._commit(Manifest(now.version + 1, now.schema, with_shards(now.parts, made, gone)), made)
                 return made
             except ConflictError:
                 continue
         raise ConflictError("other writers kept committing")
 
-    retain: int = 1  # versions whose shards a vacuum leaves
-
-    def retire(self, gone: set[str]) -> None:
-        """Deletes merged shards at once where only the latest version is retained."""
-        if self.retain == 1:
-            for path in gone:
-                self.files.delete(self._path(path), False)
-
-    def vacuum(self) -> None:
-        """Deletes the versions but the last ``retain``, and the shards that none of those names."""
-        latest = self.version()
-        kept = [v for v in range(max(1, latest - self.retain + 1), latest + 1)]
-        named = {s.path for v in kept for s in self.manifest(v).shards}
-        for status in self.files.listStatus(self._path("versions")) if latest else []:
-            name = status.getPath().getName()
-            if name.endswith(".json") and int(name[:-5]) not in kept:
-                self.files.delete(status.getPath(), False)
-        if not self.files.exists(self._path("shards")):
+    def vacuum(self, older_than: float = RETENTION) -> None:
+        """Deletes versions replaced more than ``older_than`` seconds ago, and the shards and parts that are as old and
+        that no version left names."""
+        folder, cutoff = self._path("versions"), (time.time() - older_than) * 1000
+        if not self.files.exists(folder):
             return
-        found = self.files.listFiles(self._path("shards"), True)
-        stale = []
-        while found.hasNext():
-            path = found.next().getPath()
-            text = path.toString()
-            if text.endswith(".parquet") and text[text.rindex("shards/") :] not in named:
-                stale.append(path)
-        for path in stale:
-            self.files.delete(path, False)
+        written = {}
+        for status in self.files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.endswith(".json") and name[:-5].isdigit():
+                written[int(name[:-5])] = status.getModificationTime()
+        kept = [v for v in written if v + 1 not in written or written[v + 1] >= cutoff]
+        manifests = [self.manifest(v) for v in kept]
+        named = {s.path for m in manifests for s in m.shards} | {f"versions/parts/{p.name}.json" for m in manifests for p in m.parts}
+        for version in written.keys() - set(kept):
+            self.files.delete(self._path(f"versions/{version:012d}.json"), False)
+        for below in ("versions/parts", "shards"):
+            if not self.files.exists(self._path(below)):
+                continue
+            found, stale = self.files.listFiles(self._path(below), True), []
+            while found.hasNext():
+                status = found.next()
+                text = status.getPath().toString()
+                if status.getModificationTime() < cutoff and text[text.rindex(f"{below}/") :] not in named:
+                    stale.append(status.getPath())
+            for path in stale:
+                self.files.delete(path, False)
 
 
 def tier(size: int, target: int, factor: int = 4) -> int:

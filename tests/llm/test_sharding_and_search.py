@@ -48,10 +48,10 @@ def test_shards_stay_where_nothing_is_to_merge(spark, store):
 def test_one_writer_wins_a_version(spark, store):
     store.append(arrival(spark, 0, 10))
     now = store.manifest()
-    store._commit(sharding.Manifest(now.version + 1, now.schema, now.shards))
+    store._commit(sharding.Manifest(now.version + 1, now.schema, now.parts))
     with pytest.raises(sharding.ConflictError):
         store._commit(sharding.Manifest(now.version + 1, now.schema, ()))
-    assert store.manifest() == sharding.Manifest(2, now.schema, now.shards)
+    assert store.manifest() == sharding.Manifest(2, now.schema, now.parts)
 
 
 def test_an_append_between_survives_a_merge(spark, store):
@@ -75,10 +75,67 @@ def test_an_append_between_survives_a_merge(spark, store):
     store._merge(groups)
     store.manifest = read
     assert store.read().count() == 45
-    store.vacuum()
+    store.vacuum(older_than=-60)
     assert store.read().count() == 45
 
 
+def test_a_vacuum_leaves_an_append_in_flight(spark, store, monkeypatch):
+    store.append(arrival(spark, 0, 10))
+    written = store._written
+
+    def and_vacuum(older_than):
+        def write(rows, partition_by=None):
+            made = written(rows, partition_by)
+            Store(spark, store.folder).vacuum(*older_than)
+            return made
+
+        return write
+
+    monkeypatch.setattr(store, "_written", and_vacuum(()))
+    store.append(arrival(spark, 10, 20))
+    assert store.read().count() == 20
+    monkeypatch.setattr(store, "_written", and_vacuum((-60,)))
+    with pytest.raises(RuntimeError, match="retention"):
+        store.append(arrival(spark, 20, 30))
+    assert store.read().count() == 20
+
+
+def test_a_reader_goes_on_across_compaction(spark, store):
+    for i in range(5):
+        store.append(arrival(spark, 10 * i, 10 * i + 10).coalesce(1))
+    reader = store.read()
+    store.compact(target=1 << 20)
+    store.vacuum()
+    assert reader.count() == 50 and store.read(5).count() == 50
+    store.vacuum(older_than=-60)
+    assert store.read().count() == 50
+    assert len(list(spark.sparkContext._jvm.java.io.File(f"{store.folder}/versions/parts").list())) <= 2  # (with a checksum)
+
+
+def test_arrivals_with_other_columns(spark, store):
+    store.append(spark.range(4).select("id", F.lit("a").alias("text")))
+    store.append(spark.range(4, 6).select("id", F.lit("b").alias("Text"), F.lit(1.5).alias("more")))
+    store.append(spark.range(6, 8).select("id"))
+    with pytest.raises(ValueError, match="text"):
+        store.append(spark.range(9, 10).select("id", F.lit(1).alias("text")))
+    expected = [(i, "a" if i < 4 else "b" if i < 6 else None, 1.5 if i in (4, 5) else None) for i in range(8)]
+    assert store.read().columns == ["id", "text", "more"]
+    assert sorted(map(tuple, store.read().collect())) == expected
+    store.compact(target=1 << 20, everything=True)
+    assert sorted(map(tuple, store.read().collect())) == expected and len(store.manifest().shards) == 1
+
+
+def test_parts_of_a_manifest(monkeypatch):
+    monkeypatch.setattr(sharding, "PART_SHARDS", 3)
+    shards = [Shard(str(i), 1, 1) for i in range(8)]
+    parts = sharding.with_shards((), shards)
+    assert [len(p.shards) for p in parts] == [3, 3, 2]
+    more = sharding.with_shards(parts, [Shard("8", 1, 1), Shard("9", 1, 1)])
+    assert more[:2] == parts[:2] and sorted(s.path for p in more for s in p.shards) == [str(i) for i in range(10)]
+    less = sharding.with_shards(more, [], frozenset({"0", "9"}))
+    assert less[0] == parts[1] and sorted(s.path for p in less for s in p.shards) == [str(i) for i in range(1, 9)]
+
+
 def test_tiers_and_plans():
     target = 64
     assert [tier(s, target) for s in (64, 32, 31, 8, 7, 2, 1)] == [0, 0, 1, 2, 2, 3, 3]
