@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import ann, sharding
+from tagloom.llm import ann, queries, sharding
 from tagloom.llm.sharding import Shard, Store, plan, tier
 
 
@@ -268,3 +270,48 @@ def test_abandoned_candidates_are_far():
         kept += len(set(true) & set(alive.tolist()))
         assert len(alive) < 50
     assert kept / 300 > 0.97
+
+
+def test_limits_from_elsewhere():
+    """With a threshold carried along nothing nearer is lost, and little else survives."""
+    rng = np.random.default_rng(3)
+    rows, asked = rng.standard_normal((2000, 64)).astype(np.float32), rng.standard_normal((30, 64)).astype(np.float32)
+    far = ((rows[None, :, :].astype(np.float64) - asked[:, None, :]) ** 2).sum(axis=2)
+    limits = np.sort(far, axis=1)[:, 3]
+    for f, limit, alive in zip(far, limits, ann.scan(asked, rows, 10, 16, 3.5, limits=limits)):
+        assert set(np.flatnonzero(f <= limit)) <= set(alive.tolist()) and len(alive) <= 8
+
+
+def test_extreme_vectors(spark):
+    """Squares of finite components beyond single precision lose nothing."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8) * 10.0 ** rng.integers(-30, 37)]) for i in range(300)]
+    df = spark.createDataFrame(rows, KIND)
+    got = {}
+    for r in ann.search(df, df.filter("vec_id % 100 = 0"), index=ann.Index(np.eye(8), np.zeros((1, 8), np.float32), 1)).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    expected = brute(rows)
+    for q, best in expected.items():
+        assert [s for s, _ in sorted(got[q])] == pytest.approx([s for s, _ in best], rel=1e-12)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/embeddings.parquet"), reason="no such table here")
+def test_recall_of_the_query_on_the_given_table(spark):
+    """The registered query, with its own parameters, against brute force over every query of the table."""
+    folder = os.environ.get("RECALL_DIR", "/root/testdata/sf0.1")
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").filter("embedding is not null").select("vec_id", "embedding").collect()
+    usable = [r for r in table if all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    ids, x = np.array([r[0] for r in usable]), np.array([r[1] for r in usable], np.float64)
+    got = {}
+    for r in queries.op10_nearest_neighbours(spark, folder).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hits = wanted = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        far[ids == ids[i]] = np.inf
+        best = ids[np.lexsort((ids, far))[:10]]
+        assert sorted(got[ids[i]]) == list(range(1, 11))
+        hits += len({v for v, _ in got[ids[i]].values()} & set(best.tolist()))
+        wanted += 10
+    print(f"recall {hits / wanted:.4f} of {wanted // 10} queries among {len(ids)} vectors")
+    assert hits / wanted >= 0.9
