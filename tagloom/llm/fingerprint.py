@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tagloom.llm.common import bounded_batches, materialize, spread
 
@@ -156,32 +157,30 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last document of each partition against the first of the next; the very last against the very first."""
-    start, held = None, None
+    """The last document of a partition against the first of the next that has any."""
     for batch in batches:
-        for row in batch.select(["kind", "doc", "text"]).to_pylist():
-            if row["kind"] == _LAST:
-                held = row["doc"], row["text"], _print(row["text"])
-                continue
-            start = start or row
-            if held is not None:
-                yield pa.RecordBatch.from_pylist([_compared(*held, row["text"], _print(row["text"]))], _RESULT)
-    if held is not None:
-        yield pa.RecordBatch.from_pylist([_compared(*held, start["text"], _print(start["text"]))], _RESULT)
+        for row in batch.to_pylist():
+            yield pa.RecordBatch.from_pylist([_compared(row["doc"], row["text"], _print(row["text"]), row["after"], _print(row["after"]))], _RESULT)
 
 
 def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: its fingerprint, that of its edited text, and how near it is to that and to the next document.
 
     The edited text has the last half of its characters replaced by the first as many of the next document by
-    descending id (after the last, the first). The texts are shuffled once, by ranges of the id.
+    descending id (after the last, the first). The texts are shuffled once, by ranges of the id. Ids are integers (another
+    value is cast to one, or null; null comes last); rows of one id follow by a hash of their text. Other columns are
+    left out.
     """
     bounded_batches(documents.sparkSession)
     keyed = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     order = [F.col("doc").desc_nulls_last(), F.xxhash64("text").asc()]  # (bounds are sampled to the driver: no texts in them)
     dealt = keyed.repartitionByRange(spread(documents.sparkSession), *order).sortWithinPartitions(*order)
     done = materialize(dealt.mapInArrow(_neighbours, _SPARK), "fingerprints")
-    # two rows a partition, in one task
-    seams = done.filter(F.col("kind") != _PAIR).coalesce(1).sortWithinPartitions("place", "kind").mapInArrow(_seams, _SPARK)
+    # the next partition with a document: from a row of two numbers a partition
+    firsts = done.filter(F.col("kind") == _FIRST).select(F.col("place").alias("at"), F.col("text").alias("after"))
+    lasts = done.filter(F.col("kind") == _LAST).select("place", "doc", "text")
+    ordered = W.orderBy("place")
+    places = lasts.select("place").select("place", F.coalesce(F.lead("place").over(ordered), F.min("place").over(W.partitionBy())).alias("at"))
+    seams = lasts.join(places, "place").join(firsts, "at").select("doc", "text", "after").mapInArrow(_seams, _SPARK)
     columns = [F.col("doc").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return done.filter(F.col("kind") == _PAIR).unionByName(seams).select(*columns)
