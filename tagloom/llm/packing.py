@@ -2,7 +2,7 @@
 
 A bin's *gap* is the room it has left. N(g) counts the open bins of gap g; a piece goes where the sum of N(g)^2 over
 all gaps becomes smallest (of equals, into the smallest gap). Only pieces longer than a sequence are cut. Pieces that
-fill a sequence take one alone; all are dealt into groups of about ``group_pieces`` by a hash of their key, and each
+fill a sequence take one alone; all others are dealt into groups of about ``GROUP_PIECES`` by a hash of their key, and each
 group is packed by itself: groups hold alike mixtures of lengths, so the loss is a few open bins a group, however many
 groups there are. A group is packed three times by the rule - longest first with new bins only where nothing fits,
 longest first, in key order - and the packing of fewest sequences stays.
@@ -133,13 +133,21 @@ def sum_of_squares(lengths: np.ndarray, capacity: int, sparing: bool = True) ->
     return bins, offsets
 
 
-def pack(pieces: DataFrame, key_cols: list[str], capacity: int, n_groups: int) -> DataFrame:
+#: Pieces that are packed together.
+GROUP_PIECES = 20_000
+
+
+def pack(pieces: DataFrame, key_cols: list[str], capacity: int, n_groups: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``pieces`` (which has ``length``). Sequences are numbered with gaps.
 
-    ``n_groups`` bounds a task's rows: choose it so that a group holds some ten thousand pieces.
+    Pieces that fill a sequence have ids below zero and are not shuffled. The rest is counted for the number of groups,
+    unless that is given.
     """
     pieces = pieces.drop("sequence_id", "offset")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = pieces.filter(F.col("length") < capacity)
+    groups = n_groups or max(1, -(-rest.count() // GROUP_PIECES))
 
     def fill(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
         dealt = rows.sort_values(key_cols, kind="stable")
@@ -148,11 +156,4 @@ def pack(pieces: DataFrame, key_cols: list[str], capacity: int, n_groups: int) -
         rows, bins, offsets = min(tried, key=lambda x: x[1].max())
         return rows.assign(sequence_id=bins + (int(key[0]) << 36), offset=offsets)
 
-    group = F.pmod(F.xxhash64(*key_cols), F.lit(n_groups))
-    return pieces.groupBy(group).applyInPandas(fill, schema)
-
-
-def n_groups_for(rows: int, group_pieces: int = 20_000) -> int:
-    return max(1, -(-rows // group_pieces))
-
-
+    return rest.groupBy(F.pmod(F.xxhash64(*key_cols), F.lit(groups))).applyInPandas(fill, schema).unionByName(full)

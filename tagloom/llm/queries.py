@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import ann, bpe, fingerprint, jaccard, langid, line_dedup, packing, sharding, substring_dedup, toxicity
-from tagloom.llm.common import shared_folder
+from tagloom.llm.common import materialize, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,7 @@ def packed_documents(documents: DataFrame) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = documents.select("doc_id", packing.token_bytes_column(F.col("text"), path, end_id=0).alias("ids"))
     pieces = packing.cut(ids, "ids", SEQUENCE_TOKENS).select("doc_id", "piece", "start", "length", F.crc32("piece_ids").alias("ids_crc32"))
-    # a document has a piece at least and seldom more than a few: its count is near enough to size the groups
-    groups = packing.n_groups_for(documents.count())
-    return packing.pack(pieces, ["doc_id", "piece", "ids_crc32"], SEQUENCE_TOKENS, groups)
+    return packing.pack(materialize(pieces, "pieces"), ["doc_id", "piece", "ids_crc32"], SEQUENCE_TOKENS)  # a table of numbers
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

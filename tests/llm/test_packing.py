@@ -72,5 +72,8 @@ def test_groups_and_empty_tables(spark, no_documents):
     pieces = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 700 + 1).alias("length"))
     packed = packing.pack(pieces, ["doc_id"], 1000, n_groups=4)
     assert packed.count() == 500 and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1000").count() == 0
+    full = spark.range(20).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 15, 1000).otherwise(400).alias("length"))
+    rows = packing.pack(full, ["doc_id"], 1000).collect()
+    assert len({r.sequence_id for r in rows if r.length == 1000}) == 15 and len({r.sequence_id for r in rows}) == 18
     assert packed_documents(no_documents).count() == 0
     assert packing.cut(spark.sql("select cast(null as binary) as ids, 'own' as piece"), "ids", 10).count() == 0
