@@ -4,12 +4,15 @@ Words are runs of anything but ASCII white space, unchanged; a text of fewer wor
 of it, and a text without words is like no other. Documents of the same set are one class entry (a *text*) throughout,
 so that copies cost nothing and are never expanded into pairs.
 
-Candidates come from ``TREES`` bands of MinHash values, the prefixes of an LSH forest's tries at one depth: that is fixed
-in advance, from ``LEVELS`` values down, as the longest prefix under which the expected share of found pairs at the
-threshold reaches ``recall`` (24 bands of 4 values at 0.8 and 0.99999). No sorted trie is built and no prefix is shortened
-during a search; texts below one node (of equal prefix in one band) are candidates. Within a node, pairs
-whose signatures agree by far less than the threshold are set aside (at five standard deviations), the others are
-linked to one of them, and linked texts form components. Within a component every pair is verified from the sets of
+Candidates come from a MinHash LSH forest. A text has a path of ``LEVELS`` MinHash values in each of ``TREES`` trees; a
+tree is the sorted list of its paths, in which the texts below a trie node lie side by side, so that the longest prefix
+that a text shares with any other is one that it shares with its neighbour. Each text starts from its whole paths and
+shortens them, in all trees at once, until the chance that a partner shares a prefix in some tree reaches ``recall``; the
+chance is that of the least similarity that sets of its size can have at or above the threshold, so that small sets stop
+at longer prefixes and sets that can have no partner never start. Trees in which nobody shares the prefix that is left
+give no candidates. Of texts below one node, pairs whose signatures agree by far less than the threshold are set aside
+(at five standard deviations: of pairs at the threshold 3 in 10 million; ``sifted=False`` sets none aside), the others
+are linked to one of them, and linked texts form components. Within a component every pair is verified from the sets of
 shingles themselves.
 
 Nodes and components of more than ``BLOCK`` texts are dealt out as pairs of blocks, so that no task holds a group that
@@ -45,6 +48,23 @@ def depth_for(threshold: float, recall: float) -> int:
     return 1
 
 
+def least_similarity(n: int, threshold: float) -> float | None:
+    """The least similarity, at or above the threshold, of a set of ``n`` to another set; None if there is none."""
+    found = []
+    for m in range(int(n * threshold), int(n / threshold) + 2):
+        for common in range(max(1, int(threshold * (n + m) / (1 + threshold)) - 1), min(n, m) + 1):
+            if common < max(n, m) and common / (n + m - common) >= threshold:
+                found.append(common / (n + m - common))
+                break
+    return min(found, default=None)
+
+
+def depths_by_size(threshold: float, recall: float, sizes: int = 200) -> list[int]:
+    """The prefix that texts of 1, 2, ... ``sizes`` or more shingles search by; 0 for those that can have no partner."""
+    least = [least_similarity(n, threshold) for n in range(1, sizes)]
+    return [depth_for(x, recall) if x is not None else 0 for x in least] + [depth_for(threshold, recall)]
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Of texts laid end to end: the distinct shingle hashes of each, sorted, and where they start."""
     starts, ends, counts = words_of(raw, offsets)
@@ -78,15 +98,21 @@ def _names(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return pair
 
 
-_SIGNED = pa.struct([("n", pa.int64()), ("sid", pa.binary()), ("paths", pa.list_(pa.int64())), ("brief", pa.binary())])
+_SIGNED = pa.struct([("n", pa.int64()), ("sid", pa.binary()), ("paths", pa.list_(pa.binary())), ("brief", pa.binary())])
 _SIGNED_SPARK = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("paths", T.ArrayType(T.LongType())), T.StructField("brief", T.BinaryType()),
+    T.StructField("n", T.LongType()), T.StructField("sid", T.BinaryType()), T.StructField("paths", T.ArrayType(T.BinaryType())), T.StructField("brief", T.BinaryType()),
 ])
+#: Bytes of a path: that of the tree, and two a level.
+PATH_BYTES = 1 + 2 * LEVELS
 
 
-def _sign(width: int, depth: int):
-    """Size and 128-bit name of a text's set, its prefix in each tree, and a byte of each MinHash value in use."""
-    used = np.array([t * LEVELS + i for t in range(TREES) for i in range(depth)])
+def _fixed(x: np.ndarray, width: int) -> pa.Array:
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(-1, width)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def _sign(width: int):
+    """Size and 128-bit name of a text's set, its path in each tree, and a byte of each MinHash value."""
 
     def sign(texts: pa.Array) -> pa.Array:
         sizes, names, paths, briefs = [], [], [], []
@@ -94,30 +120,50 @@ def _sign(width: int, depth: int):
             values, bounds = shingle_sets(raw, offsets, width)
             n = np.diff(bounds)
             some = np.flatnonzero(n)
-            minima = np.zeros((len(n), len(used)), np.uint64)
+            minima = np.zeros((len(n), TREES * LEVELS), np.uint64)
             if len(some):
                 at = bounds[:-1][some]
-                for k, seed in enumerate(_SEEDS[used].tolist()):
+                for k, seed in enumerate(_SEEDS.tolist()):
                     spun = values * np.uint64(seed)
                     spun ^= spun >> np.uint64(32)
                     minima[some, k] = np.minimum.reduceat(spun, at)
-            path = np.zeros((len(n), TREES), np.uint64)
-            for i in range(depth):
-                path = mixed(path * np.uint64(_BASE) + minima[:, i::depth])
-            path += np.arange(TREES, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+            minima = mixed(minima)
+            path = np.empty((len(n), TREES, PATH_BYTES), np.uint8)
+            path[:, :, 0] = np.arange(TREES)
+            path[:, :, 1:] = (minima >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(len(n), TREES, 2 * LEVELS)
             sizes.append(n)
             names.append(_names(values, bounds))
             paths.append(path)
-            briefs.append((mixed(minima) >> np.uint64(56)).astype(np.uint8))
+            briefs.append((minima >> np.uint64(32)).astype(np.uint8))
         n = np.concatenate(sizes)
-        fixed = lambda x, width: pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(n), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
-        flat = np.concatenate(paths).view(np.int64).ravel()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(n), fixed(np.concatenate(names), 16), lists, fixed(np.concatenate(briefs), len(used))], fields=list(_SIGNED))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TREES), _fixed(np.concatenate(paths), PATH_BYTES))
+        return pa.StructArray.from_arrays([pa.array(n), _fixed(np.concatenate(names), 16), lists, _fixed(np.concatenate(briefs), TREES * LEVELS)], fields=list(_SIGNED))
 
     return lambda *columns: arrow_column(sign, _SIGNED_SPARK, *columns)
 
 
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of paths in sorted order, those that share a prefix of ``depth`` levels with a neighbour.
+
+    What the neighbours beyond the ends of a partition are is not known here: the rows at its ends stay.
+    """
+    held, shared = None, LEVELS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([held, batch] if held is not None else [batch])
+        whole = table.combine_chunks().to_batches()[0]
+        paths = np.frombuffer(b"".join(whole.column("path").to_pylist()), np.uint8).reshape(-1, PATH_BYTES)
+        same = paths[1:] == paths[:-1]
+        levels = np.cumprod(same[:, 1::2] & same[:, 2::2] & same[:, :1], axis=1).sum(axis=1)
+        before = np.r_[shared, levels]
+        longest = np.maximum(before[:-1], levels)
+        yield whole.slice(0, whole.num_rows - 1).filter(pa.array(longest >= whole.column("depth").to_numpy()[:-1]))
+        held, shared = whole.slice(whole.num_rows - 1), int(before[-1])
+    if held is not None:
+        yield held
+
+
 def in_blocks(rows: DataFrame, group: list[str], size: str, member: str) -> DataFrame:
     """Adds ``one`` and ``two``: each row once for every pair of blocks of its group that its own block is in.
 
@@ -308,26 +354,33 @@ def _verify(threshold: float):
 
 
 def _near_duplicates(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.99999
-) -> DataFrame:
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.99999, sifted: bool = True
+) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark)
-    depth = depth_for(threshold, recall)
+    depths = depths_by_size(threshold, recall)
     wide = spread(spark)
     docs = documents.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("_t"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    signed = materialize(docs.withColumn("s", _sign(width, depth)("text")).select("doc", "_t", "s.n", "s.sid", "s.paths", "s.brief"), "signatures")
+    signed = materialize(docs.withColumn("s", _sign(width)("text")).select("doc", "_t", "s.n", "s.sid", "s.paths", "s.brief"), "signatures")
 
     # one text a set of shingles; its documents are a class of copies
-    texts = signed.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc")).alias("_least"), F.count("*").alias("docs"), F.first("paths").alias("paths"), F.first("brief").alias("brief"))
-    texts = materialize(texts.select("sid", F.col("_least.doc").alias("rep"), "docs", "paths", "brief"), "texts")
-
-    # trie nodes with more than one text
-    below = texts.select("sid", F.explode("paths").alias("path"))
-    nodes = below.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialize(below.join(nodes, "path"), "trie-nodes").join(texts.select("sid", "brief"), "sid")
-    dealt = in_blocks(members, ["path"], "size", "sid").repartition(wide, "path", "one", "two").sortWithinPartitions("path", "one", "two", "sid")
-    agreement = threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / (TREES * depth)))
+    first = F.min(F.struct("doc")).alias("_least"), F.count("*").alias("docs"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("brief").alias("brief")
+    texts = materialize(signed.filter("n > 0").groupBy("sid").agg(*first).select("sid", F.col("_least.doc").alias("rep"), "docs", "n", "paths", "brief"), "texts")
+
+    # the sorted tries, by ranges: a node that a third of all texts are below spreads over as many tasks as it needs
+    depth = F.element_at(F.array(*map(F.lit, depths)), F.least("n", F.lit(len(depths))).cast("int"))
+    searching = texts.select("sid", "paths", depth.alias("depth")).filter("depth > 0").select("sid", "depth", F.explode("paths").alias("path"))
+    tries = searching.repartitionByRange(wide, "path", "sid").sortWithinPartitions("path", "sid")
+    sharing = tries.mapInArrow(_sharing, tries.schema)
+    # (small sets search by longer prefixes: below a node of the shortest they may meet more than they need)
+    prefix = F.xxhash64(F.substring("path", 1, 1 + 2 * min(d for d in depths if d)))
+    members = materialize(sharing.select("sid", prefix.alias("path")), "trie-nodes")
+    nodes = members.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
+    below = members.join(nodes.hint("merge"), "path").join(texts.select("sid", "brief").hint("merge"), "sid")
+    dealt = in_blocks(below, ["path"], "size", "sid").repartition(wide, "path", "one", "two").sortWithinPartitions("path", "one", "two", "sid")
+    agreement = threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / (TREES * LEVELS))) if sifted else -1.0
     edges = materialize(dealt.select("path", "one", "two", "sid", "brief").mapInArrow(_candidates(agreement), "a binary, b binary").distinct(), "likely-pairs")
+    discard(members)
     grouped = components(edges)
     sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
     placed = materialize(grouped.join(sizes, "root").join(texts.select("sid", "rep", "docs"), "sid"), "placed")
@@ -348,8 +401,13 @@ def _near_duplicates(
     least = joined.join(reps, "sid").groupBy("root").agg(F.min(F.struct("rep")).alias("_least"))
     classes = materialize(joined.join(least, "root").join(counts, "sid").select("sid", F.col("_least.rep").alias("class_id"), "links", "linked_docs"), "classes")
 
+    discard(placed)
+    discard(links)
     told = texts.join(classes, "sid", "left").select("sid", "docs", F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), "links", "linked_docs")
-    out = signed.select("doc", "_t", "sid", "n").join(materialize(told, "told"), "sid", "left")
+    told = materialize(told, "told")
+    for table in (edges, classes, texts):
+        discard(table)
+    out = signed.select("doc", "_t", "sid", "n").join(told, "sid", "left")
     empty = F.col("n") == 0
     return out.select(
         F.col("doc").alias(id_col),
