@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from tagloom.llm import line_dedup, queries
 
@@ -79,19 +80,57 @@ def test_longer_runs(spark):
     assert one == {1: "x\na\nb\nc", 2: "y\nz", 3: "q"}
 
 
-def test_levels_double_until_nothing_repeats(spark):
-    docs = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(11)) + f"\nend {i}") for i in range(3)], "doc_id int, text string")
-    sizes = {n: df.count() for n, df in line_dedup.levels(docs)}
-    assert sizes == {1: 33, 2: 30, 4: 24, 8: 12, 16: 0}
-
+def _suffixes(corpus):
+    """Suffixes of all different texts in order, with the lines that each shares with the one before, in plain Python."""
+    import xxhash
 
-def test_intervals_are_in_sorted_order(spark):
-    """Ranks of a level go up with the pairs that they stand for."""
-    docs = spark.createDataFrame([(i, "\n".join(f"line {(i + j) % 7}" for j in range(6))) for i in range(9)], "doc_id int, text string")
-    found = dict(line_dedup.levels(docs, min_lines=2))
-    heads = {(r["_d"], r["seq"]): r["rank"] for r in found[1].collect()}
-    order = sorted({(heads[r["_d"], r["seq"]], heads[r["_d"], r["seq"] + 1], r["rank"]) for r in found[2].collect()})
-    assert [x[2] for x in order] == sorted(x[2] for x in order)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    salt = xxhash.xxh64_intdigest("\u0001".encode(), 42)
+    name = lambda x: (signed(xxhash.xxh64_intdigest(x.encode(), 42)), signed(xxhash.xxh64_intdigest(x.encode(), salt)))
+    least = {}
+    for doc, text in corpus:
+        if text is not None:
+            least[text] = min(least.get(text, (doc is not None, doc or 0)), (doc is not None, doc or 0))
+    every = []
+    for text, doc in least.items():
+        names = [name(x) for x in text.split("\n") if x.strip(" ")]
+        every += [(names[k:], doc, name(text), k + 1) for k in range(len(names))]
+    every.sort()
+    out, before = [], []
+    for names, doc, text, seq in every:
+        shared = 0
+        while shared < min(len(names), len(before)) and names[shared] == before[shared]:
+            shared += 1
+        out.append((doc[1] if doc[0] else None, text[0], seq, shared))
+        before = names
+    firsts = [names[0] for names, *_ in every]
+    return [row for row, first in zip(out, firsts) if firsts.count(first) > 1]
+
+
+def _array(spark, rows, partitions=4):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        return [(r["_d"], r["_t"], r.seq, r.lcp) for r in sorted(line_dedup.suffix_array(documents).collect(), key=lambda r: r["at"])]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_suffix_array_and_common_prefixes(spark, corpus):
+    rng = random.Random(9)
+    rows = [r for r in corpus if r[0] not in (506, 600)]
+    block = [f"line {rng.randint(0, 3)}" for _ in range(60)]
+    for i in range(12):  # long runs in common, periodic ones, and all that lies between
+        a, b = sorted(rng.sample(range(61), 2))
+        rows.append((700 + i, "\n".join([*[f"x{rng.randint(0, 5)}" for _ in range(rng.randint(0, 4))], *block[a:b], *["again"] * rng.randint(0, 20)])))
+    assert _array(spark, rows) == _suffixes(rows)
+
+
+def test_suffix_array_of_runs_of_every_length(spark):
+    lines = [f"l{i}" for i in range(40)]
+    rows = [(n, "\n".join(lines[:n] + [f"end {n}"])) for n in range(1, 40)]
+    got = _array(spark, rows)
+    assert got == _suffixes(rows) and max(x[3] for x in got) == 38
 
 
 def test_blank_lines_and_empty_tables(spark, no_documents):
