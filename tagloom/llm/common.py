@@ -141,6 +141,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Characters that a sampled word keeps.
+WORD_CHARS = 240
+
+
+def some_words(text: Column, key: Column, blocks: int, block_words: int) -> Column:
+    """A text of at most ``blocks`` runs of ``block_words`` words, chosen by a hash of the key and their place, in order.
+
+    For samples that go to the driver: longer texts are cut where they are, so that a sample of rows is one of bytes.
+    """
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    n = F.ceil(F.size(words) / block_words).cast("int")
+    drawn = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.struct(F.xxhash64(key, b).alias("lot"), b.alias("at")))), 1, blocks)
+    runs = F.transform(F.array_sort(F.transform(drawn, lambda x: x["at"])), lambda at: F.slice(words, at * block_words + 1, F.lit(block_words)))
+    return F.array_join(F.transform(F.flatten(runs), lambda w: F.substring(w, 1, WORD_CHARS)), " ")
+
+
 def spread(spark: SparkSession) -> int:
     """Shuffle partitions of the session: how wide small keyed tables are dealt out."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

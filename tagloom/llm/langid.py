@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm import gru
-from tagloom.llm.common import arrow_column, held, packed, unpacked
+from tagloom.llm.common import arrow_column, held, packed, some_words, unpacked
 
 MAX_BYTES = 24
 _START, _END = 256, 257
@@ -166,8 +166,11 @@ def predict_column(text: Column, spark, model: LanguageModel) -> Column:
     return arrow_column(predict, kinds, text.cast("binary"))
 
 
-def sample(documents: DataFrame, eligible: Column, per_language: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most about ``per_language`` texts of each language, chosen by a hash of the id, in a fixed order."""
+def sample(
+    documents: DataFrame, eligible: Column, per_language: int, words_each: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> list[tuple[str, str]]:
+    """``words_each`` words of at most about ``per_language`` texts of each language, both chosen by a hash of the id, in a
+    fixed order. Words are drawn where the texts are, and are of bounded length: so is what comes to the driver."""
     rows = documents.filter(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
@@ -176,14 +179,17 @@ def sample(documents: DataFrame, eligible: Column, per_language: int, id_col: st
     for lang, n in sorted(counts.items()):
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     lot = F.pmod(F.xxhash64(F.col(id_col), F.lit("languages")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.filter(lot < share).select(F.col(id_col), text_col, lang_col).limit(2 * per_language * len(counts)).collect()
-    return [(r[1], r[2]) for r in sorted(chosen, key=lambda r: (str(r[0]), r[1]))]
+    words = some_words(F.col(text_col), F.col(id_col), words_each, 1)
+    chosen = rows.filter(lot < share).select(F.col(id_col).alias("id"), words.alias("words"), F.col(lang_col).alias("lang"))
+    # (twice as many rows are there only if ids have many rows)
+    some = chosen.orderBy(F.xxhash64("id", "words")).limit(2 * per_language * len(counts)).collect()
+    return [(r[1], r[2]) for r in sorted(some, key=lambda r: (str(r[0]), r[1]))]
 
 
-def fit(documents: DataFrame, eligible: Column, per_language: int = 600, **names) -> LanguageModel:
-    """A model from the ``eligible`` rows of ``documents``."""
-    pairs = sample(documents, eligible, per_language, **names)
-    model = train([t for t, _ in pairs], [lang for _, lang in pairs])
+def fit(documents: DataFrame, eligible: Column, per_language: int = 600, words_each: int = 60, **names) -> LanguageModel:
+    """A model from the ``eligible`` rows of ``documents``: ``words_each`` words of about ``per_language`` texts a language."""
+    pairs = sample(documents, eligible, per_language, words_each, **names)
+    model = train([t for t, _ in pairs], [lang for _, lang in pairs], words_each=words_each)
     model.name = uuid.uuid4().hex
     return model
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm import gru
-from tagloom.llm.common import arrow_column, held
+from tagloom.llm.common import arrow_column, held, some_words
 
 WINDOW, STRIDE, UNITS, DIMS = 32, 24, 8, 4
 _WORDS, _RUNS, _KEEP = 1 << 15, 1 << 17, 300_000
@@ -317,20 +317,27 @@ def score_column(text: Column, spark, model: ToxicityModel) -> Column:
     return arrow_column(score, T.DoubleType(), text.cast("binary"))
 
 
+#: Words of a sampled text: so many runs of so many.
+SAMPLE_BLOCKS, SAMPLE_BLOCK = 32, 128
+
+
 def sample(
     documents: DataFrame, labels: DataFrame, eligible: Column, per_label: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> tuple[list[tuple[str, int]], float]:
     """At most about ``per_label`` toxic texts and twice as many clean ones, chosen by a hash of the id, in a fixed order.
 
-    Also the share of toxic ones among all labelled.
+    Also the share of toxic ones among all labelled. Of texts of more than ``SAMPLE_BLOCKS * SAMPLE_BLOCK`` words so many
+    are drawn, in runs, where the texts are: what comes to the driver is bounded.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & eligible).select(F.col(id_col), F.col(label_col).cast("int").alias("_label")).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     share = F.when(F.col("_label") == 1, F.lit(min(1.0, per_label / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, 2 * per_label / max(1, counts.get(0, 0)))))
     lot = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = known.filter(lot < share).limit(4 * per_label)
+    drawn = known.filter(lot < share).orderBy(F.xxhash64(id_col, "_label")).limit(4 * per_label)
     texts = documents.select(id_col, text_col).filter(F.col(text_col).isNotNull())
-    chosen = texts.join(F.broadcast(drawn), id_col).select(id_col, text_col, "_label").limit(4 * per_label).collect()
+    words = some_words(F.col(text_col), F.col(id_col), SAMPLE_BLOCKS, SAMPLE_BLOCK)
+    labelled = texts.join(F.broadcast(drawn), id_col).select(F.col(id_col).alias("id"), words.alias("words"), "_label")
+    chosen = labelled.orderBy(F.xxhash64("id", "_label", "words")).limit(4 * per_label).collect()
     pairs = [(r[1], r[2]) for r in sorted(chosen, key=lambda r: (str(r[0]), r[1], r[2]))]
     return pairs, counts.get(1, 0) / max(1, sum(counts.values()))
 

@@ -1,10 +1,11 @@
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import gru, langid, toxicity
+from tagloom.llm import gru, langid, queries, toxicity
 
 LETTERS = {"aa": "abcde", "bb": "fghij", "cc": "kßéñü"}
 
@@ -125,3 +126,125 @@ def test_toxicity_fit(spark, documents, no_documents):
     scores = [r.score for r in toxicity.score(documents, model).collect()]
     assert len(scores) == documents.count() and all(0 <= s <= 1 for s in scores)
     assert toxicity.score(no_documents, toxicity.fit(no_documents, labels.limit(0), F.lit(True))).count() == 0
+
+
+def test_reading_against_a_plain_pass(languages):
+    """Every word of a text by itself, state by state, without a memo or batches."""
+    w, units = languages.weights, languages.weights["rec_f"].shape[0]
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+
+    def steps(inputs, recurrent):
+        h, out = np.zeros(units), []
+        for x in inputs:
+            gates = sigma(h @ recurrent[:, : 2 * units] + x[: 2 * units])
+            new = np.tanh(x[2 * units :] + gates[units:] * (h @ recurrent[:, 2 * units :]))
+            h = gates[:units] * h + (1 - gates[:units]) * new
+            out.append(h)
+        return out
+
+    rng = random.Random(8)
+    for text in (sentence(rng, "aa", 6), sentence(rng, "cc", 5) + " " + "fghij" * 12, "x"):
+        total, n = np.zeros(len(languages.languages)), 0
+        for word in text.split():
+            for piece in langid.pieces(word):
+                codes = langid._codes([piece])[:, 0]
+                forwards, backwards = steps(w["in_f"][codes], w["rec_f"]), steps(w["in_b"][codes[::-1]], w["rec_b"])[::-1]
+                for f, b in list(zip(forwards, backwards))[1:-1]:
+                    scores = np.exp(np.r_[f, b] @ w["out"] + w["bias"])
+                    total += scores / scores.sum()
+                n += len(piece)
+        (got,) = langid.Reader(languages).read([text.encode()])
+        assert got == pytest.approx([*total, n], rel=1e-3, abs=1e-3)
+
+
+def test_scores_against_every_window(toxic_model):
+    """Each window of a text by itself, its attention and pooling spelled out."""
+    w = toxic_model.weights
+    rng = random.Random(9)
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+    for n in (1, 20, 32, 33, 90):
+        words = [toxicity.plain(x.encode()) for x in sentence(rng, "aa", n).split()]
+        highest = -np.inf
+        for start in range(0, max(1, n - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            x = []
+            for word in words[start : start + toxicity.WINDOW]:
+                hashes, _, runs = toxicity.features([word])
+                x.append(np.r_[w["words"][hashes[0]], w["runs"][runs].max(axis=0)])
+            pad = [x[-1]] * (toxicity.WINDOW - len(x))
+            inputs, units = np.array(x + pad), toxicity.UNITS
+            f = gru.run((inputs @ w["in_f"])[:, None, :].astype(np.float32), w["rec_f"])[:, 0]
+            b = gru.run((inputs[::-1] @ w["in_b"])[:, None, :].astype(np.float32), w["rec_b"])[::-1][:, 0]
+            both = np.concatenate([f, b], axis=1)
+            weight = np.where(np.arange(toxicity.WINDOW) < len(x), np.exp(both @ w["attend"]), np.exp(-30))
+            weight /= weight.sum()
+            highest = max(highest, float((weight @ both) @ w["out"] + w["bias"][0]))
+        (got,) = toxicity.Reader(toxic_model).score([" ".join(x.decode() for x in words).encode()])
+        assert got == pytest.approx(float(sigma(highest * w["scale"][0] + w["scale"][1])), abs=2e-3)
+
+
+def test_gradients_of_attention_and_embeddings():
+    """What _learn steps by, against numeric gradients of the mean log loss."""
+    rng = np.random.default_rng(3)
+    units, dims = toxicity.UNITS, toxicity.DIMS
+    hashes, starts, runs = toxicity._in_parts([b"alpha", b"beta", b"gamma", b"delta", b"eps"])
+    bounds = np.r_[starts, len(runs)]
+    small = lambda *shape: (rng.standard_normal(shape) * 0.4).astype(np.float32)
+    w = {
+        "words": np.zeros((toxicity._WORDS, dims), np.float32), "runs": np.zeros((toxicity._RUNS, dims), np.float32), "in_f": small(2 * dims, 3 * units), "in_b": small(2 * dims, 3 * units),
+        "rec_f": small(units, 3 * units), "rec_b": small(units, 3 * units), "attend": small(2 * units), "out": small(2 * units), "bias": small(1), "scale": np.array([1, 0], np.float32),
+    }
+    w["words"][hashes], w["runs"][np.unique(runs)] = small(len(hashes), dims), small(len(np.unique(runs)), dims)
+    documents, labels, batch = [np.array([0, 1, 2, 1]), np.array([3, 4, 0])], np.array([1, 0], np.float32), [(0, 0), (1, 0)]
+    taken = {}
+
+    class Steps:
+        def step(self, grads):
+            taken.update(grads)
+
+    toxicity._learn(w, Steps(), batch, documents, labels, hashes, bounds, runs)
+
+    def loss():
+        f, b = toxicity._tables(w, hashes, starts, runs)
+        scores = []
+        for i, window in batch:
+            at, filled = toxicity._gathered(documents[i], 0)
+            rows = documents[i][at]
+            scores.append(toxicity._forward(w, f[rows], b[rows], filled)[window])
+        s = np.array(scores, np.float64)
+        return float(np.mean(np.log1p(np.exp(s)) - labels * s))
+
+    for name in ("in_f", "in_b", "rec_f", "rec_b", "attend", "out", "bias", "words", "runs"):
+        places = np.argwhere(np.abs(taken[name]) > np.abs(taken[name]).max() / 3)[:6]
+        for at in map(tuple, places.tolist()):
+            before = w[name][at]
+            w[name][at] = before + 2e-3
+            up = loss()
+            w[name][at] = before - 2e-3
+            down = loss()
+            w[name][at] = before
+            assert taken[name][at] == pytest.approx((up - down) / 4e-3, rel=0.08, abs=2e-4), name
+
+
+def test_samples_are_bounded(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(50_000)), "aa", 1), (2, "x" * 100_000, "aa", 0), (3, "a  b\n c", "aa", 0), (4, "", "bb", 0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, toxic int")
+    told = {t[:3]: t for t, _ in langid.sample(docs, F.lit(True), 10, 60)}
+    assert len(told["xxx"]) == 240 and sorted(told["a b"].split()) == ["a", "b", "c"]
+    assert max(len(t.split()) for t in told.values()) == 60
+    pairs, _ = toxicity.sample(docs, docs, F.lit(True), 10)
+    assert sorted(len(t.split()) for t, _ in pairs) == [0, 1, 3, 4096]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="no such table here")
+def test_held_out_documents(spark):
+    """Both queries on the given tables: right on documents that they have not learnt from."""
+    folder = "/root/testdata/sf0.1"  # (sf0.01 has 45 toxic documents to learn from: too few)
+    truth = {r[0]: r[1] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}
+    told = [r for r in queries.op6_language_id(spark, folder).collect() if r.held_out and truth[r.doc_id] and r.lang_pred != "und"]
+    right = np.mean([r.lang_pred == truth[r.doc_id] for r in told])
+    toxic = {r[0]: r[1] for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").collect()}
+    scored = [r for r in queries.op8_toxicity(spark, folder).collect() if r.held_out and toxic.get(r.doc_id) is not None]
+    bad, good = [r.score for r in scored if toxic[r.doc_id]], [r.score for r in scored if not toxic[r.doc_id]]
+    above = np.mean([b > g for b in bad for g in good])
+    print(f"languages {right:.4f} of {len(told)}; toxicity AUC {above:.4f} of {len(bad)} and {len(good)}")
+    assert right > 0.97 and above > 0.9
