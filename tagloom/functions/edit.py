@@ -1,9 +1,10 @@
-"""Word edit distance. Spark's own counts characters only; these run over Arrow batches in plain dynamic programming."""
+"""Word edit distance. Spark's own counts characters only; these run over Arrow batches, many pairs at a time."""
 
 from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,35 +14,51 @@ _KIND = T.StructType([T.StructField(n, T.LongType()) for n in ("errors", "words"
 _ARROW = pa.struct([(n, pa.int64()) for n in ("errors", "words", "insertions", "deletions", "substitutions")])
 
 
+#: An error, and in the low digits that it is an insertion or a deletion.
+_ERROR, _SHIFT = 1 << 32, (1 << 32) + 1
+#: Cells of a row of many pairs.
+_CELLS = 1 << 18
+
+
+def _coded(pairs: list[tuple[list[str], list[str]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    names: dict[str, int] = {}
+    code = lambda ws: np.fromiter((names.setdefault(w, len(names)) for w in ws), np.int64, len(ws))
+    return [(code(a), code(b)) for a, b in pairs]
+
+
+def counts_of_pairs(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
+    """(insertions, deletions, substitutions) of each (hypothesis, reference): of the alignments of least cost one with the
+    fewest insertions and deletions. Pairs of similar length go through the table together, a row of it at a time."""
+    out = np.zeros((len(pairs), 3), np.int64)
+    coded = _coded(pairs)
+    order = sorted((i for i, (a, b) in enumerate(pairs) if a != b), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    while order:
+        widest, n = len(pairs[order[-1]][0]) + 1, 1
+        while n < len(order) and (n + 1) * widest <= _CELLS:
+            n += 1
+        group, order = order[-n:], order[:-n]
+        lengths = np.array([(len(coded[i][0]), len(coded[i][1])) for i in group])
+        hyps, refs = np.full((n, widest - 1), -1), np.full((n, int(lengths[:, 1].max())), -2)
+        for k, i in enumerate(group):
+            hyps[k, : lengths[k, 0]], refs[k, : lengths[k, 1]] = coded[i]
+        along = np.arange(widest) * _SHIFT
+        row = np.broadcast_to(along, (n, widest)).copy()
+        found = row[np.arange(n), lengths[:, 0]]
+        for j in range(refs.shape[1]):
+            best = row + _SHIFT
+            np.minimum(best[:, 1:], row[:, :-1] + (hyps != refs[:, j : j + 1]) * _ERROR, out=best[:, 1:])
+            row = np.minimum.accumulate(best - along, axis=1) + along
+            ends = np.flatnonzero(lengths[:, 1] == j + 1)
+            found[ends] = row[ends, lengths[ends, 0]]
+        errors, shifts = found >> 32, found & (_ERROR - 1)
+        longer = lengths[:, 0] - lengths[:, 1]
+        out[group] = np.stack([(shifts + longer) // 2, (shifts - longer) // 2, errors - shifts], axis=1)
+    return out
+
+
 def counts(hypothesis: list[str], reference: list[str]) -> tuple[int, int, int]:
-    """(insertions, deletions, substitutions) of a least-cost alignment; equal ends are cut off first."""
-    a, b = reference, hypothesis
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = 0
-    while k < len(a) and k < len(b) and a[k] == b[k]:
-        k += 1
-    a, b = a[k:], b[k:]
-    if not a or not b:
-        return len(b), len(a), 0
-    # cost, then the parts; on equal costs a substitution is preferred, then a deletion
-    row = [(j, j, 0, 0) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], (i, 0, i, 0)
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            if x == y:
-                best = diagonal
-            else:
-                c, ins, dels, subs = diagonal
-                best = (c + 1, ins, dels, subs + 1)
-                if up[0] + 1 < best[0]:
-                    best = (up[0] + 1, up[1], up[2] + 1, up[3])
-                left = row[j - 1]
-                if left[0] + 1 < best[0]:
-                    best = (left[0] + 1, left[1] + 1, left[2], left[3])
-            diagonal, row[j] = up, best
-    return row[-1][1:]
+    """(insertions, deletions, substitutions) of one pair."""
+    return tuple(counts_of_pairs([(hypothesis, reference)])[0].tolist())
 
 
 def word_errors(hypothesis: Column, reference: Column, characters: bool = False) -> Column:
@@ -51,12 +68,11 @@ def word_errors(hypothesis: Column, reference: Column, characters: bool = False)
     """
 
     def compare(hyps: pa.Array, refs: pa.Array) -> pa.Array:
-        out = []
-        for h, r in zip(hyps.to_pylist(), refs.to_pylist()):
-            h, r = (list(h or ""), list(r or "")) if characters else ((h or "").split(), (r or "").split())
-            ins, dels, subs = (0, 0, 0) if h == r else counts(h, r)
-            out.append({"errors": ins + dels + subs, "words": len(r), "insertions": ins, "deletions": dels, "substitutions": subs})
-        return pa.array(out, _ARROW)
+        split = list if characters else str.split
+        pairs = [(split(h or ""), split(r or "")) for h, r in zip(hyps.to_pylist(), refs.to_pylist())]
+        kinds, lengths = counts_of_pairs(pairs), np.array([len(r) for _, r in pairs], np.int64)
+        columns = [kinds.sum(axis=1), lengths, *kinds.T]
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], fields=list(_ARROW))
 
     return F.arrow_udf(compare, _KIND)(hypothesis, reference)
 

@@ -87,10 +87,16 @@ def piece_vocabulary(df: DataFrame, text: str = "text", min_count: int = 5, most
 
 
 def character_vocabulary(df: DataFrame, text: str = "text", min_count: int = 10) -> DataFrame:
-    """(letter, n) of the characters of clean texts."""
-    clean = tags.strip_tags(tags.normalize(F.col(text)))
-    letters = df.select(F.explode(F.filter(F.split(clean, ""), lambda c: c != "")).alias("letter"))
-    return letters.groupBy("letter").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    """(letter, n) of the characters of clean texts, the blanks between words among them.
+
+    Words are counted first: only different words are taken apart.
+    """
+    clean = F.filter(words(tags.normalize(F.col(text))), lambda w: ~tags.is_tag(w))
+    # the words of a text, and one row for its blanks
+    rows = df.select(clean.alias("w")).select(F.explode(F.concat(F.transform("w", lambda w: F.struct(w.alias("w"), F.lit(1).cast("long").alias("n"))), F.array(F.struct(F.lit(" ").alias("w"), F.greatest(F.size("w") - 1, F.lit(0)).cast("long").alias("n"))))).alias("x"))
+    counted = rows.groupBy("x.w").agg(F.sum("x.n").alias("n"))
+    letters = counted.select(F.explode(F.filter(F.split("w", ""), lambda c: c != "")).alias("letter"), "n")
+    return letters.groupBy("letter").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
 def new_tokens(df: DataFrame, vocabulary: DataFrame, text: str = "text", min_count: int = 10, prefixes: list[str] = lx.NEW_TOKEN_PREFIXES) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import metadata, tags
 from tagloom.operators import audits, metrics
-from tagloom.plans.views import NORM, TAGGED, TURNS, predicted_turns, query, table, tagged
+from tagloom.plans.views import NORM, TAGGED, TURNS, edits, predicted_turns, query, table, tagged
 
 
 @query("agg01_totals", r"""WITH %s, w AS (SELECT duration, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM tagged)
@@ -141,10 +141,15 @@ def agg28(spark, sf):
     return made.withColumn("share", F.round("share", 6))
 
 
-@query("agg29_word_error_rate")
+_ERRORS = f"WITH RECURSIVE {TURNS}, numbered AS (SELECT *, conv_id * 1000000 + turn AS k FROM turns), {edits('numbered', 'k')}"
+
+
+@query("agg29_word_error_rate", f"""{_ERRORS}, s AS (SELECT role, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, sum(insertions)::BIGINT AS i, sum(deletions)::BIGINT AS d, sum(substitutions)::BIGINT AS u FROM edits JOIN numbered USING (k) GROUP BY role)
+  SELECT role, errors, words, round(errors / words, 6) AS wer, round(i / words, 6) AS ins_rate, round(d / words, 6) AS del_rate, round(u / words, 6) AS sub_rate FROM s""")
 def agg29(spark, sf):
     """By role, with the rates of insertions, deletions and substitutions."""
-    return metrics.error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref"), by=["role"])
+    made = metrics.error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref"), by=["role"])
+    return made.select("role", "errors", "words", *[F.round(c, 6).alias(c) for c in ("wer", "ins_rate", "del_rate", "sub_rate")])
 
 
 @query("agg31_dropped_words", rf"""WITH {TURNS}, w AS (SELECT role, len(list_filter(string_split(text, ' '), lambda x, i: (i - 1 + turn) % 5 = 0)) AS gone, text FROM turns WHERE NOT regexp_matches(text, '\n|  |^ | $') AND text <> '')
@@ -156,9 +161,9 @@ def agg31(spark, sf):
     return metrics.error_rate(turns, kept, F.col("text"), by=["role"]).select("role", "errors", "words")
 
 
-@query("agg31_mean_error_rate")
+@query("agg31_mean_error_rate", f"{_ERRORS} SELECT count(*) AS n, round(avg(CASE WHEN words > 0 THEN errors / words ELSE errors END), 6) AS mean_wer FROM edits")
 def agg31b(spark, sf):
-    return metrics.mean_error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref"))
+    return metrics.mean_error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref")).withColumn("mean_wer", F.round("mean_wer", 6))
 
 
 @query("agg29_character_error_rate")
@@ -189,9 +194,10 @@ def agg34(spark, sf):
     return made.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("agg35_family_error_rate")
+@query("agg35_family_error_rate", f"""{_ERRORS} SELECT role, grouping(role)::INT AS everything, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, round(sum(errors) / sum(words), 6) AS wer
+  FROM edits JOIN numbered USING (k) GROUP BY ROLLUP (role)""")
 def agg35(spark, sf):
-    return metrics.family_error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref"), "role")
+    return metrics.family_error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref"), "role").withColumn("wer", F.round("wer", 6))
 
 
 @query("agg38_first_seen", rf"""WITH k AS (SELECT doc_id, unnest(string_split(concat('INTENT|', upper(source)), '|')) AS token, generate_subscripts(['a', 'b'], 1) - 1 AS place FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc_id, place) AS r FROM k) SELECT token, doc_id, place FROM r WHERE r = 1""")

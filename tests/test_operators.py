@@ -87,6 +87,26 @@ def test_word_errors_against_plain_programming():
                 table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
         ins, dels, subs = edit.counts(a, b)
         assert ins + dels + subs == table[-1][-1] and ins - dels == len(a) - len(b)
+        least = {(0, 0): (0, 0)}  # (errors, insertions and deletions)
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [(least[i - 1, j], 1, 1)] if i else []
+                ways += [(least[i, j - 1], 1, 1)] if j else []
+                ways += [(least[i - 1, j - 1], int(a[i - 1] != b[j - 1]), 0)] if i and j else []
+                if ways:
+                    least[i, j] = min((x[0] + e, x[1] + s) for x, e, s in ways)
+        assert (ins + dels + subs, ins + dels) == least[len(a), len(b)]
+
+
+def test_pairs_of_all_lengths_together(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    pairs = [tuple([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2)) for _ in range(200)]
+    alone = [edit.counts(*p) for p in pairs]
+    for cells in (1, 50, 1 << 18):
+        monkeypatch.setattr(edit, "_CELLS", cells)
+        assert list(map(tuple, edit.counts_of_pairs(pairs).tolist())) == alone
 
 
 def test_numbers_and_letters(value):
