@@ -81,6 +81,16 @@ def language_of_source(source: Column, table: dict[str, str]) -> Column:
     return lookup(source, table, F.when(F.contains(source, F.lit("_")), F.substring_index(source, "_", -1)))
 
 
+def one_of(label: Column, allowed: list[str]) -> Column:
+    """Whether a label is one of a set; a missing one is not."""
+    return F.coalesce(label.isin(allowed), F.lit(False))
+
+
+def says_something(text: Column) -> Column:
+    """Whether a text has a word that is no tag."""
+    return F.coalesce(F.exists(words(text), lambda w: ~tags.is_tag(w)), F.lit(False))
+
+
 def all_tags_in(text: Column, frequent: Column) -> Column:
     return F.forall(tags.tags(text), lambda t: F.array_contains(frequent, t))
 
