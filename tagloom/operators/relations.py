@@ -14,11 +14,13 @@ from pyspark.sql.window import Window as W
 def distinct_on(df: DataFrame, keys: list[str], order: list, keep_null_keys: bool = True) -> DataFrame:
     """The first row of each key by ``order`` (reverse the order for the last). Rows with a null key are all kept.
 
-    Aggregated before the shuffle: a key of any number of rows costs one row a task.
+    Aggregated before the shuffle: a key of any number of rows costs one row a task. Of rows that tie the one of least
+    hash stays (over the columns that are no maps).
     """
     columns = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    ranks = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    ranks = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], tie.alias("tie"))
     keyed = df if not keep_null_keys else df.filter(" and ".join(f"`{k}` is not null" for k in keys))
     firsts = keyed.groupBy(*keys).agg(F.min_by(row, ranks).alias("_row"))
     out = firsts.select(*[F.col(k) if k in keys else F.col(f"_row.`{k}`").alias(k) for k in df.columns])
@@ -26,7 +28,10 @@ def distinct_on(df: DataFrame, keys: list[str], order: list, keep_null_keys: boo
 
 
 def first_unless_exempt(df: DataFrame, key: str, order: str, exempt: Column) -> DataFrame:
-    """First row of each key, except that exempt rows always stay. An exempt row earlier in order still counts as seen."""
+    """First row of each key, except that exempt rows always stay. An exempt row earlier in order still counts as seen.
+
+    Rows that tie for the first all stay.
+    """
     seen = df.groupBy(key).agg(F.min(order).alias("_first"))
     joined = df.join(seen, df[key].eqNullSafe(seen[key])).drop(seen[key])
     return joined.filter(exempt | (F.col(order) == F.col("_first"))).drop("_first")
@@ -111,11 +116,12 @@ def numbered(df: DataFrame, order: list[str], number: str = "id") -> DataFrame:
     (one row a partition) are added.
     """
     # the same ranges must hold for both passes: they are written into the rows by one shuffle that both read
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = sizes.withColumn("_base", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", F.coalesce("_base", F.lit(0)).alias("_base"))
-    inside = dealt.withColumn("_i", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return inside.join(F.broadcast(base), "_part").withColumn(number, (F.col("_base") + F.col("_i") - 1).cast("long")).drop("_part", "_base", "_i")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    placed = dealt.withColumn("_part", part).join(F.broadcast(base), "_part")
+    return placed.withColumn(number, (F.col("_base") + inside).cast("long")).drop("_part", "_base", "_at")
 
 
 def fan_out(df: DataFrame, many: str, one: str, keep_empty: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ Exact cut points need exact ranks: ``ranked`` gives them without one task seeing
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,12 +19,22 @@ def lot(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def _ranked_within(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rank`` from 1 in ``order`` within groups, and their sizes ``n``. Rows are dealt by ranges, not by groups."""
+    rows = numbered(df, [*by, *order], "_r")
+    groups = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_r").alias("_first"), F.count("*").alias("n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)])
+    return rows.join(groups, same).withColumn("rank", F.col("_r") - F.col("_first") + 1).select(*df.columns, "rank", "n")
+
+
 def ranked(df: DataFrame, key: str, seed: int, by: list[str] = ()) -> DataFrame:
-    """``rank`` from 1 in order of lots, and ``n``; over all rows, or within groups."""
+    """``rank`` from 1 in order of lots, and ``n``; over all rows, or within groups.
+
+    Rows are dealt by ranges of group and lot: a group that a third of all rows are in is no task of its own.
+    """
     drawn = df.withColumn("_lot", lot(F.col(key), seed))
     if by:
-        window = W.partitionBy(*by)
-        return drawn.withColumns({"rank": F.row_number().over(window.orderBy("_lot", key)), "n": F.count("*").over(window)}).drop("_lot")
+        return _ranked_within(drawn, by, ["_lot", key]).select(*df.columns, "rank", "n")
     return numbered(drawn, ["_lot", key], "_r").crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).withColumn("rank", F.col("_r") + 1).drop("_lot", "_r")
 
 
@@ -84,13 +96,18 @@ def balanced(df: DataFrame, key: str, family: str, weight: str, total: int, temp
     uniform = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     rows = df.join(F.broadcast(shares), family)
     once = rows.filter("_quota <= _n").withColumn("_key", -F.log(uniform(F.col(key))) / F.col(weight))
-    once = once.withColumn("draw", F.row_number().over(W.partitionBy(family).orderBy("_key", key))).filter(F.col("draw") <= F.col("_quota"))
+    once = _ranked_within(once, [family], ["_key", key]).withColumnRenamed("rank", "draw").filter(F.col("draw") <= F.col("_quota"))
     few = rows.filter("_quota > _n")
-    running = W.partitionBy(family).orderBy(key)
-    spans = few.withColumns({"_to": F.sum(weight).over(running.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum(weight).over(W.partitionBy(family))}).withColumn("_from", F.col("_to") - F.col(weight))
-    draws = shares.filter("_quota > _n").select(family, F.explode(F.sequence(F.lit(1), F.col("_quota").cast("int"))).alias("draw"))
-    drawn = draws.withColumn("_u", uniform(F.col(family), F.col("draw")))
-    again = spans.join(drawn, (spans[family] == drawn[family]) & (drawn["_u"] * spans["_all"] >= spans["_from"]) & (drawn["_u"] * spans["_all"] < spans["_to"])).drop(drawn[family])
+    # (such a family has fewer rows than the sample)
+    running = W.partitionBy(family).orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    spans = few.withColumn("_to", F.sum(weight).over(running)).withColumn("_from", F.col("_to") - F.col(weight))
+    # stretches and draws meet in bins of a row's mean weight
+    totals = F.broadcast(spans.groupBy(family).agg(F.max("_to").alias("_all")))
+    bin_of = lambda at: F.floor(at * F.col("_n") / F.col("_all"))
+    binned = spans.join(totals, family).withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to")))))
+    draws = shares.filter("_quota > _n").join(totals, family).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_quota").cast("int"))))
+    drawn = draws.withColumn("_u", uniform(F.col(family), F.col("draw")) * F.col("_all")).select(F.col(family).alias("_of"), "draw", "_u", bin_of(F.col("_u")).alias("_at"))
+    again = binned.join(drawn, (F.col(family) == F.col("_of")) & (F.col("_bin") == F.col("_at"))).filter((F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to")))
     return once.select(*df.columns, F.col("draw").cast("int").alias("draw")).unionByName(again.select(*df.columns, "draw"))
 
 
