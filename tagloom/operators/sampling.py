@@ -94,7 +94,7 @@ def balanced(df: DataFrame, key: str, family: str, weight: str, total: int, temp
 
     shares = quotas(family_weights(df, family, temperature), family, total).select(family, F.col("n").alias("_n"), F.col("quota").alias("_quota"))
     uniform = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    rows = df.join(F.broadcast(shares), family)
+    rows = df.join(shares, family)
     once = rows.filter("_quota <= _n").withColumn("_key", -F.log(uniform(F.col(key))) / F.col(weight))
     once = _ranked_within(once, [family], ["_key", key]).withColumnRenamed("rank", "draw").filter(F.col("draw") <= F.col("_quota"))
     few = rows.filter("_quota > _n")
@@ -102,7 +102,7 @@ def balanced(df: DataFrame, key: str, family: str, weight: str, total: int, temp
     running = W.partitionBy(family).orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     spans = few.withColumn("_to", F.sum(weight).over(running)).withColumn("_from", F.col("_to") - F.col(weight))
     # stretches and draws meet in bins of a row's mean weight
-    totals = F.broadcast(spans.groupBy(family).agg(F.max("_to").alias("_all")))
+    totals = spans.groupBy(family).agg(F.max("_to").alias("_all"))
     bin_of = lambda at: F.floor(at * F.col("_n") / F.col("_all"))
     binned = spans.join(totals, family).withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(F.col("_to")))))
     draws = shares.filter("_quota > _n").join(totals, family).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_quota").cast("int"))))

@@ -40,7 +40,7 @@ def grown(have: DataFrame, batches: DataFrame, target: int, token: str = "token"
     # a row a batch
     sizes = firsts.groupBy("first_batch").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("first_batch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return firsts.join(F.broadcast(before.filter(F.col("_before") < target).select("first_batch")), "first_batch").select(token, "first_batch")
+    return firsts.join(before.filter(F.col("_before") < target).select("first_batch"), "first_batch").select(token, "first_batch")
 
 
 def done_before(output: DataFrame | None, expected: int) -> bool:

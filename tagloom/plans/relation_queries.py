@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tagloom.functions import tags
-from tagloom.functions.text import words
 from tagloom.operators import metrics, relations, retrieval, sampling, segments
 from tagloom.plans.views import NORM, TAGGED, query, table, tagged
 from tagloom.streaming import events as streams
@@ -219,10 +218,10 @@ def smp07(spark, sf):
 @query("smp09_split_at_changes", r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, length(text) / 10.0 AS d FROM conversations),
   b AS (SELECT conv_id, turn, w, d, list_concat([0], list_filter([2, 5], lambda c: c < len(w)), [len(w)]) AS b FROM w),
   p AS (SELECT conv_id, turn, w, d, b, unnest(range(1, len(b))) AS i FROM b), s AS (SELECT conv_id, turn, i - 1 AS piece, array_to_string(w[b[i] + 1:b[i + 1]], ' ') AS piece_text, (b[i + 1] / greatest(len(w), 1) - b[i] / greatest(len(w), 1)) * d AS e, w FROM p)
-  SELECT conv_id, turn, piece, piece_text FROM s WHERE e >= 0.3 AND len(w) > 2""")
+  SELECT conv_id, turn, piece, piece_text FROM s WHERE e >= 0.3 AND len(w) > 2 UNION ALL SELECT conv_id, turn, 0, text FROM conversations JOIN w USING (conv_id, turn) WHERE len(w) <= 2 AND d >= 0.3""")
 def smp09(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", (F.length("text") / 10.0).cast("double").alias("d")).withColumn("changes", F.array(F.lit(5.0), F.lit(2.2), F.lit(2.9), F.lit(-1.0)))
-    pieces = segments.split_at_changes(turns.filter(F.size(words(F.col("text"))) > 2), "text", "changes", "d")
+    pieces = segments.split_at_changes(turns, "text", "changes", "d")
     return pieces.filter(F.col("piece_duration") >= 0.3).select("conv_id", "turn", "piece", "piece_text")
 
 

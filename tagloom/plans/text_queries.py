@@ -221,15 +221,8 @@ def prj43(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tokens.alias("w"), labels.alias("l")).select("doc_id", tags.bio_to_spans(F.col("w"), F.col("l")).alias("line"))
 
 
-@query("prj44_offsets_to_spans", """SELECT doc_id, concat(text[1:4], 'NER_X ', text[5:8], ' END', text[9:]) AS line FROM documents WHERE length(text) > 20 AND trim(text[1:4], ' ') <> '' AND text[1] <> ' ' AND text[-1] <> ' '""")
+@query("prj44_offsets_to_spans", "SELECT doc_id, trim(text[1:4] || 'NER_X ' || text[5:8] || ' END' || text[9:], ' ') AS line FROM documents")
 def prj44(spark, sf):
-    docs = table(spark, sf, "documents").filter("length(text) > 20 and trim(substring(text, 1, 4)) <> '' and not startswith(text, ' ') and not endswith(text, ' ')")
-    spans = F.array(F.struct(F.lit(4).alias("start"), F.lit(8).alias("end"), F.lit("X").alias("tag")))
-    return docs.select("doc_id", tags.offsets_to_spans(F.col("text"), spans).alias("line"))
-
-
-@query("prj44_offsets_in_every_document")
-def prj44_every(spark, sf):
     """The same span in all documents, those that are short, or blank at an end or before the span, among them."""
     spans = F.array(F.struct(F.lit(4).alias("start"), F.lit(8).alias("end"), F.lit("X").alias("tag")))
     return table(spark, sf, "documents").select("doc_id", tags.offsets_to_spans(F.col("text"), spans).alias("line"))
@@ -365,18 +358,22 @@ def prj62(spark, sf):
     return table(spark, sf, "documents").select("doc_id", spoken.inverse_normalized(F.replace(words_, F.lit("-"), F.lit(" "))).alias("line"))
 
 
-@query("prj72_located_entities", rf"""WITH {TAGGED} SELECT doc_id, 'ENTITY_CITY' AS label, concat('new ', source) AS phrase, strpos(text, concat('new ', source, ' END')) - 1 AS start FROM tagged WHERE doc_id % 5 = 2""")
+_PLACES = rf"""WITH {TAGGED}, s AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(ENTITY_\w+) (.*?) END', 1)) AS label, unnest(regexp_extract_all(text, '(ENTITY_\w+) (.*?) END', 2)) AS phrase FROM tagged),
+  p AS (SELECT *, list_transform(string_split(text, phrase), lambda x: length(x)) AS between FROM s),
+  o AS (SELECT doc_id, label, phrase, unnest(list_transform(range(1, len(between)), lambda k: list_sum(between[1:k]) + (k - 1) * length(phrase)))::BIGINT AS start FROM p)"""
+
+
+@query("prj72_located_entities", f"{_PLACES} SELECT doc_id, label, phrase, start FROM o")
 def prj72(spark, sf):
     from tagloom.functions import spoken
 
-    found = tagged(spark, sf).filter("doc_id % 5 = 2").select("doc_id", F.explode(spoken.located_entities(F.col("text"), "ENTITY_")).alias("e")).select("doc_id", "e.*")
-    first = found.groupBy("doc_id", "label", "phrase").agg(F.min("start").alias("start"))
-    return first.filter("label = 'ENTITY_CITY'").select("doc_id", "label", "phrase", F.col("start").cast("long").alias("start"))
+    found = tagged(spark, sf).select("doc_id", F.explode(spoken.located_entities(F.col("text"), "ENTITY_")).alias("e")).select("doc_id", "e.*")
+    return found.select("doc_id", "label", "phrase", F.col("start").cast("long").alias("start"))
 
 
-@query("prj72_every_entity_place")
+@query("prj72_every_entity_place", f'{_PLACES} SELECT doc_id, label, phrase, start, start + length(phrase) AS "end" FROM o')
 def prj72_every(spark, sf):
-    """Every place of every span's phrase, from all tagged documents, as ``spoken.located_entities`` finds them."""
+    """Every place of every span's phrase, as ``spoken.located_entities`` finds them."""
     spans = r"(?Ud)(ENTITY_\w+) (.*?) END"
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(spans), F.lit(1)).alias("label"), F.regexp_extract_all("text", F.lit(spans), F.lit(2)).alias("phrase"))
     rows = tagged(spark, sf).select("doc_id", "text", F.explode(found).alias("e")).select("doc_id", "text", "e.*")

@@ -40,7 +40,8 @@ def lines(spark: SparkSession, paths: str | list[str], pattern: str | None = Non
     splits = rows.groupBy("source_file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("source_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     based = splits.select("source_file", "_at", (before - F.col("_first") + 1).alias("_base"))
-    return rows.join(F.broadcast(based), ["source_file", "_at"]).select("source_file", (F.col("_id") + F.col("_base")).cast("long").alias("line_no"), "value")
+    # (broadcast only if it is small: Spark knows its size by then)
+    return rows.join(based, ["source_file", "_at"]).select("source_file", (F.col("_id") + F.col("_base")).cast("long").alias("line_no"), "value")
 
 
 def manifest(spark: SparkSession, paths: str | list[str], schema: str = MANIFEST, required: tuple[str, ...] = ("audio_filepath",), **options) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ def test_plans_stay_in_the_jvm(spark):
     """No Python where an expression does, filters and columns reach the scan, and small tables are pre-aggregated."""
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no tables here")
-    python = {"prj53_half_width", "prj62_written_numbers", "prj72_located_entities", "smp13_voiced_segments", "udf01_annotator", "agg29_word_error_rate", "agg29_character_error_rate", "agg31_dropped_words", "agg31_mean_error_rate", "agg33_labelled_error_rate", "agg35_family_error_rate"}
+    python = {"prj53_half_width", "prj62_written_numbers", "prj72_located_entities", "smp13_voiced_segments", "udf01_annotator", "agg29_word_error_rate", "agg30_error_kinds", "agg29_character_error_rate", "agg31_dropped_words", "agg31_mean_error_rate", "agg33_labelled_error_rate", "agg35_family_error_rate"}
     from tagloom import plans
 
     for name, query in plans.QUERIES.items():
