@@ -182,11 +182,6 @@ def agg32(spark, sf):
     return made.select("label", "tp", "gt", "pred", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fscore")])
 
 
-@query("agg33_labelled_error_rate")
-def agg33(spark, sf):
-    return metrics.labelled_error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref"))
-
-
 @query("agg34_tag_set_scores", rf"""WITH {TURNS}, t AS (SELECT (turn % 3) AS h, (turn % 2) AS r FROM turns), s AS (SELECT count(*) FILTER (WHERE (h = 0 AND r = 0) OR (h = 1 AND r = 1)) AS tp, count(*) FILTER (WHERE (h = 0 AND r = 1) OR (h = 1 AND r = 0)) AS fp, count(*) FILTER (WHERE NOT ((h = 0 AND r = 0) OR (h = 1 AND r = 1))) AS fn FROM t),
   p AS (SELECT tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM s) SELECT round(p, 6) AS "precision", round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM p""")
 def agg34(spark, sf):

@@ -11,7 +11,7 @@ from tagloom.functions import metadata, spoken, tags
 from tagloom.functions.text import lookup
 from tagloom.operators import audits, filters, metrics, relations, sampling, segments, vocabularies
 from tagloom.plans.audit_queries import _ERRORS
-from tagloom.plans.views import NORM, TAGGED, predicted_turns, query, table, tagged
+from tagloom.plans.views import NORM, TAGGED, edits, predicted_turns, query, table, tagged
 from tagloom.sources import readers, writers
 
 
@@ -576,3 +576,142 @@ def smp16(spark, sf):
 def str04(spark, sf):
     docs = _docs(spark, sf).select("doc_id")
     return filters.unprocessed(docs, docs.filter("doc_id % 7 = 2"), "doc_id")
+
+
+# files of other shapes
+
+
+@query("src06_discovered", "SELECT lang AS dataset, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY lang")
+def src06(spark, sf):
+    """Manifests below folders of data sets; folders of audio and backups are passed over."""
+    root, docs = scratch(spark), _docs(spark, sf).select("doc_id", "lang")
+    for folder, lang in (("en", "en"), ("de/deeper", "de"), ("de/audio", "en")):
+        docs.filter(F.col("lang") == lang).write.json(f"{root}/{folder}")
+    found = [p for p in readers.discovered(spark, root) if "/audio/" not in p]
+    rows = spark.read.schema("doc_id bigint").json(found).select(readers.dataset_of(F.col("_metadata.file_path"), root).alias("dataset"))
+    return rows.groupBy("dataset").agg(F.count("*").alias("n"))
+
+
+@query("src09_split_alias", "SELECT count(*) AS n, min(doc_id) AS first FROM documents WHERE doc_id % 10 = 0")
+def src09(spark, sf):
+    root, docs = scratch(spark), _docs(spark, sf).select("doc_id")
+    docs.filter("doc_id % 10 = 0").write.json(f"{root}/validation.json")
+    docs.filter("doc_id % 10 <> 0").write.json(f"{root}/train.json")
+    return spark.read.schema("doc_id bigint").json(readers.split_file(spark, root, "valid")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("src10_json_array", "SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
+def src10(spark, sf):
+    counts = _docs(spark, sf).filter("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.to_json(F.collect_list(F.struct("source", "n"))).alias("value"))  # a row a source
+    return readers.json_array(spark, _written(spark, whole), "source string, n bigint")
+
+
+@query("src12_by_extension", "SELECT kind, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents, (VALUES ('csv'), ('jsonl')) k(kind) GROUP BY kind")
+def src12(spark, sf):
+    root, docs = scratch(spark), _docs(spark, sf).select("doc_id", "n_chars")
+    docs.write.option("header", True).csv(f"{root}/rows.csv")
+    docs.write.json(f"{root}/rows.jsonl")
+    both = [readers.by_extension(spark, f"{root}/rows.{k}", "doc_id bigint, n_chars bigint").withColumn("kind", F.lit(k)) for k in ("csv", "jsonl")]
+    return relations.stacked(*both).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("src16_label_table", "SELECT concat('y', doc_id) AS ytid, doc_id / 2.0 AS start, doc_id / 2.0 + 10 AS \"end\", concat('/m/', coalesce(lang, 'xx'), '|/m/b') AS labels FROM documents")
+def src16(spark, sf):
+    rows = _docs(spark, sf).select((F.col("doc_id") + 10).alias("at"), F.format_string('y%d, %s, %s, "/m/%s,/m/b"', "doc_id", (F.col("doc_id") / 2).cast("string"), (F.col("doc_id") / 2 + 10).cast("string"), F.coalesce("lang", F.lit("xx"))).alias("value"))
+    head = spark.createDataFrame([(i, x) for i, x in enumerate(["# made", "# num_ytids", "# YTID, start", "# a comment", ""])], "at long, value string")
+    one = head.unionByName(rows).repartition(1).sortWithinPartitions("at").select("value")  # one file, as the format has it
+    return readers.label_table(spark, _written(spark, one)).withColumn("labels", F.array_join("labels", "|"))
+
+
+@query("src17_ontology", "SELECT DISTINCT source AS id, upper(source) AS name FROM documents WHERE source IS NOT NULL")
+def src17(spark, sf):
+    names = _docs(spark, sf).filter("source is not null").select("source").distinct()
+    whole = names.agg(F.to_json(F.collect_list(F.struct(F.col("source").alias("id"), F.upper("source").alias("name"), F.lit("x").alias("description")))).alias("value"))
+    return readers.ontology(spark, _written(spark, whole))
+
+
+@query("src30_chunked_annotations", "SELECT lang AS state, source AS text, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS chunk FROM (SELECT DISTINCT lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)")
+def src30(spark, sf):
+    """A file a language, with its sources as chunks."""
+    named = _docs(spark, sf).filter("lang is not null and source is not null").groupBy(F.col("lang").alias("state")).agg(F.array_sort(F.collect_set("source")).alias("s"))
+    chunk = lambda s, i: F.struct((i + 0.5).alias("start"), (i + 1.0).alias("end"), s.alias("text"))
+    folder = scratch(spark)
+    writers.jsonl(named.select("state", F.lit("f").alias("gender"), F.transform("s", chunk).alias("verbatim")), folder, rows_a_file=1)
+    return readers.chunked_annotations(spark, folder).select("state", "text", F.col("chunk").cast("long").alias("chunk"))
+
+
+@query("src31_first_predictions", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 25")
+def src31(spark, sf):
+    folder = scratch(spark)
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("audio_filepath"), F.lit("t").alias("text")))
+    _docs(spark, sf).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(line.alias("value")).write.text(folder)
+    return readers.predictions(spark, folder, limit=25).select(F.col("audio_filepath").cast("long").alias("doc_id"))
+
+
+@query("snk04_routed", "SELECT coalesce(lang, 'none') AS route, count(*) AS n FROM documents GROUP BY 1")
+def snk04(spark, sf):
+    folder = scratch(spark)
+    writers.routed(_docs(spark, sf).select("doc_id", F.coalesce("lang", F.lit("none")).alias("route")), folder)
+    return spark.read.schema("doc_id bigint, route string").json(folder).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query("snk05_rewritten_if_changed", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'changed' ELSE 'same' END AS text FROM documents")
+def snk05(spark, sf):
+    folder, same = scratch(spark), F.lit("same")
+    docs = _docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 9 == 0, "changed").otherwise(same).alias("text"), (F.col("doc_id") % 9 == 0).alias("changed"))
+    assert not writers.rewritten_if_changed(docs.filter("not changed"), "changed", folder, "v1")
+    assert writers.rewritten_if_changed(docs, "changed", folder, "v2")
+    return spark.read.schema("doc_id bigint, text string").json(f"{folder}/v2")
+
+
+@query("snk07_parquet_parts", "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars, ceil(count(*) / 50.0)::BIGINT AS least_files FROM documents")
+def snk07(spark, sf):
+    folder = scratch(spark)
+    writers.parquet(_docs(spark, sf).repartition(1), folder, rows_a_file=50)
+    parts = readers.audio_parquet(spark, folder)
+    return parts.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.countDistinct("source_file").alias("least_files"))
+
+
+@query("snk09_csv_and_jsonl", "SELECT doc_id, concat('[\"', coalesce(lang, 'xx'), '\",\"b\"]') AS labels FROM documents")
+def snk09(spark, sf):
+    folder = scratch(spark)
+    writers.csv_and_jsonl(_docs(spark, sf).select("doc_id", F.array(F.coalesce("lang", F.lit("xx")), F.lit("b")).alias("labels")), folder)
+    flat = spark.read.option("header", True).schema("doc_id bigint, labels string").csv(f"{folder}/csv")
+    nested = spark.read.schema("doc_id bigint, labels array<string>").json(f"{folder}/jsonl").select("doc_id", F.to_json("labels").alias("labels"))
+    return flat.intersect(nested)
+
+
+@query("snk14_summary", "SELECT count(*) AS samples, sum(n_chars)::BIGINT AS chars FROM documents")
+def snk14(spark, sf):
+    folder = scratch(spark)
+    writers.summary(_docs(spark, sf).agg(F.count("*").alias("samples"), F.sum("n_chars").alias("chars")), folder)
+    return spark.read.schema("samples bigint, chars bigint").json(folder)
+
+
+# more texts and rates
+
+
+@query("prj15_first_word_closed", "SELECT doc_id, concat('ENTITY_CITY ', source, ' END hello') AS line FROM documents WHERE source IS NOT NULL")
+def prj15(spark, sf):
+    return _docs(spark, sf).filter("source is not null").select("doc_id", tags.close_first_word(F.concat(F.lit("ENTITY_CITY "), "source", F.lit(" hello"))).alias("line"))
+
+
+@query("prj18_split_types", "SELECT doc_id, concat('say ENTITY_CITY ', source, ' END') AS line FROM documents WHERE source IS NOT NULL")
+def prj18(spark, sf):
+    return _docs(spark, sf).filter("source is not null").select("doc_id", tags.join_split_types(F.concat(F.lit("say ENTITY_CIT Y "), "source", F.lit(" END"))).alias("line"))
+
+
+@query("prj20_without_ner", "SELECT doc_id, concat('say ', source, ' AGE_30_45 now') AS line FROM documents WHERE source IS NOT NULL")
+def prj20(spark, sf):
+    return _docs(spark, sf).filter("source is not null").select("doc_id", F.btrim(tags.remove_ner(F.concat(F.lit("say NER_CITY "), "source", F.lit(" AGE_30_45 now")))).alias("line"))
+
+
+_PLAIN = f"{_ERRORS}, plain AS (SELECT k, regexp_replace(hyp, '<N\\d+>', ' ', 'g') AS hyp, regexp_replace(ref, '<N\\d+>', ' ', 'g') AS ref, nullif(regexp_extract(hyp, '<N\\d+>'), '') AS hl, nullif(regexp_extract(ref, '<N\\d+>'), '') AS rl FROM numbered), {edits('plain', 'k', 'u_')}"
+
+
+@query("agg33_labelled_error_rate", f"""{_PLAIN}, l AS (SELECT sum(errors) AS le, sum(words) AS lw FROM edits), u AS (SELECT sum(errors) AS ue, sum(words) AS uw FROM u_edits), a AS (SELECT count(*) FILTER (WHERE hl = rl) AS hit, count(rl) AS labels FROM plain)
+  SELECT round(le / greatest(lw, 1), 6) AS labelled_wer, round(ue / greatest(uw, 1), 6) AS unlabelled_wer, round(CASE WHEN labels = 0 THEN 0.0 ELSE hit / labels END, 6) AS label_accuracy FROM l, u, a""")
+def agg33(spark, sf):
+    made = metrics.labelled_error_rate(predicted_turns(spark, sf), F.col("hyp"), F.col("ref"))
+    return made.select(*[F.round(c, 6).alias(c) for c in made.columns])

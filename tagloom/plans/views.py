@@ -86,15 +86,15 @@ NORM = f"""{TAGGED}, norm AS (SELECT *, string_split(norm, ' ') AS words, list_f
   FROM (SELECT *, {normalized('text')} AS norm FROM tagged))"""
 
 
-def edits(pairs: str, key: str) -> str:
-    """SQL of ``edits``: errors, words, insertions, deletions and substitutions of rows (``key``, hyp, ref) of ``pairs``.
+def edits(pairs: str, key: str, of: str = "") -> str:
+    """SQL of ``edits`` (``of`` goes before its names): errors, words, insertions, deletions and substitutions of rows (``key``, hyp, ref) of ``pairs``.
 
     A row of the table a step: an error counts a million, an insertion or deletion one more; white space divides words.
     """
-    return rf"""lists AS (SELECT {key}, list_filter(regexp_split_to_array(coalesce(hyp, ''), '\s+'), lambda x: x <> '') AS h, list_filter(regexp_split_to_array(coalesce(ref, ''), '\s+'), lambda x: x <> '') AS r FROM {pairs}),
-  dp AS (SELECT {key}, 0 AS i, list_transform(range(0, len(h) + 1), lambda j: j * 1000001) AS row FROM lists
+    return rf"""{of}lists AS (SELECT {key}, list_filter(regexp_split_to_array(coalesce(hyp, ''), '\s+'), lambda x: x <> '') AS h, list_filter(regexp_split_to_array(coalesce(ref, ''), '\s+'), lambda x: x <> '') AS r FROM {pairs}),
+  {of}dp AS (SELECT {key}, 0 AS i, list_transform(range(0, len(h) + 1), lambda j: j * 1000001) AS row FROM {of}lists
     UNION ALL SELECT {key}, i + 1, list_transform(range(1, len(h) + 2), lambda j: (j - 1) * 1000001 + list_min(best[1:j]))
     FROM (SELECT {key}, h, i, list_transform(range(0, len(h) + 1), lambda j: CASE WHEN j = 0 THEN row[1] + 1000001 ELSE least(row[j + 1] + 1000001, row[j] + CASE WHEN h[j] = r[i + 1] THEN 0 ELSE 1000000 END) END - j * 1000001) AS best
-      FROM dp JOIN lists USING ({key}) WHERE i < len(r))),
-  cost AS (SELECT {key}, len(h) AS hn, len(r) AS words, row[len(h) + 1] AS c FROM dp JOIN lists USING ({key}) WHERE i = len(r)),
-  edits AS (SELECT {key}, words, c // 1000000 AS errors, (c % 1000000 + hn - words) // 2 AS insertions, (c % 1000000 - hn + words) // 2 AS deletions, c // 1000000 - c % 1000000 AS substitutions FROM cost)"""
+      FROM {of}dp JOIN {of}lists USING ({key}) WHERE i < len(r))),
+  {of}cost AS (SELECT {key}, len(h) AS hn, len(r) AS words, row[len(h) + 1] AS c FROM {of}dp JOIN {of}lists USING ({key}) WHERE i = len(r)),
+  {of}edits AS (SELECT {key}, words, c // 1000000 AS errors, (c % 1000000 + hn - words) // 2 AS insertions, (c % 1000000 - hn + words) // 2 AS deletions, c // 1000000 - c % 1000000 AS substitutions FROM {of}cost)"""
