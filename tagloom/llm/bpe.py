@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 
 from tagloom.llm.common import TwoGenerationCache, arrow_column, held
 
-_WIDTH = 8  # log2 of the bits in a word of the bitmap
 _BIT = [1 << i for i in range(1 << 12)]
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(40)]
 
@@ -61,7 +60,8 @@ class BytePairCoder:
             self.token_of[rank] = token
         self.find, plain = regex.compile(pattern).findall, _latin_twin(pattern)
         self.find_latin = re.compile(plain).findall if plain else self.find
-        self.words = [0] * ((len(self.token_of) >> _WIDTH) + 1)
+        self.words = [0] * ((len(self.token_of) >> 8) + 1)  # the lower level of the bitmap, 256 bits a word
+        self.buckets: list = [None] * len(self.token_of)  # by rank; all are empty again after a merge
         self.two = [self.rank_of.get(bytes(divmod(pair, 256)), -1) for pair in range(1 << 16)]
         self.up, self.down = list(range(130)), list(range(-1, 129))
         self.memo = TwoGenerationCache(self._packed, memo)
@@ -75,38 +75,37 @@ class BytePairCoder:
         n = len(piece)
         after, before = (self.up[1 : n + 2], self.down[: n + 1]) if n < len(self.up) - 2 else (list(range(1, n + 2)), list(range(-1, n)))
         rank_at, words, two, bit = [-1] * (n + 1), self.words, self.two, _BIT
-        # a bucket is a position, or a heap of positions once it has held two
-        buckets: dict = {}
+        # a bucket is None, a position, or a heap of positions once it has held two
+        buckets = self.buckets
         summary, i, last = 0, -1, 0
         for byte in piece:
             if i >= 0:
                 r = two[last << 8 | byte]
                 if r >= 0:
                     rank_at[i] = r
-                    if r in buckets:
-                        heap = buckets[r]
-                        if type(heap) is int:
-                            buckets[r] = [heap, i]
-                        else:
-                            heap.append(i)  # ascending positions are a heap already
-                    else:
+                    heap = buckets[r]
+                    if heap is None:
                         buckets[r] = i
-                        words[r >> _WIDTH] |= bit[r & 255]
-                        summary |= bit[r >> _WIDTH]
+                        words[r >> 8] |= bit[r & 255]
+                        summary |= bit[r >> 8]
+                    elif type(heap) is int:
+                        buckets[r] = [heap, i]
+                    else:
+                        heap.append(i)  # ascending positions are a heap already
             last = byte
             i += 1
         while summary:
             w = (summary & -summary).bit_length() - 1
             word = words[w]
             low = word & -word
-            r = (w << _WIDTH) + low.bit_length() - 1
+            r = (w << 8) + low.bit_length() - 1
             i = buckets[r]
             if type(i) is not int:
                 heap, i = i, heappop(i)
             else:
                 heap = None
             if not heap:
-                del buckets[r]
+                buckets[r] = None
                 words[w] = word ^ low
                 if word == low:
                     summary ^= bit[w]
@@ -121,15 +120,15 @@ class BytePairCoder:
                 q = rank_of(piece[i : after[k]])
                 if q is not None:
                     rank_at[i] = q
-                    if q in buckets:
-                        heap = buckets[q]
+                    heap = buckets[q]
+                    if heap is None:
+                        buckets[q] = i
+                        words[q >> 8] |= bit[q & 255]
+                        summary |= bit[q >> 8]
+                    else:
                         if type(heap) is int:
                             heap = buckets[q] = [heap]
                         heappush(heap, i)
-                    else:
-                        buckets[q] = i
-                        words[q >> _WIDTH] |= bit[q & 255]
-                        summary |= bit[q >> _WIDTH]
             i = before[i]
             if i >= 0:
                 q = rank_of(piece[i:k])
@@ -137,15 +136,15 @@ class BytePairCoder:
                     rank_at[i] = -1
                 else:
                     rank_at[i] = q
-                    if q in buckets:
-                        heap = buckets[q]
+                    heap = buckets[q]
+                    if heap is None:
+                        buckets[q] = i
+                        words[q >> 8] |= bit[q & 255]
+                        summary |= bit[q >> 8]
+                    else:
                         if type(heap) is int:
                             heap = buckets[q] = [heap]
                         heappush(heap, i)
-                    else:
-                        buckets[q] = i
-                        words[q >> _WIDTH] |= bit[q & 255]
-                        summary |= bit[q >> _WIDTH]
         ids, i, rank_of = [], 0, self.rank_of
         while i < n:
             j = after[i]

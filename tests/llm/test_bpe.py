@@ -54,7 +54,7 @@ def test_vocabulary_without_order():
     rng.shuffle(order)
     ranks = {t: i if i < 256 else order[i - 256] for i, t in enumerate(tokens)}
     own = bpe.BytePairCoder.__new__(bpe.BytePairCoder)
-    own.rank_of, own.words = ranks, [0] * 8
+    own.rank_of, own.words, own.buckets = ranks, [0] * 8, [None] * len(ranks)
     own.two = [ranks.get(bytes(divmod(pair, 256)), -1) for pair in range(1 << 16)]
     own.up, own.down = list(range(130)), list(range(-1, 129))
     library = tiktoken.Encoding("own", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
