@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tagloom.llm import fingerprint as fp
-from tests_llm_order import order_of
+from text_order import order_of
 
 
 def test_rolling_hash_by_definition():
