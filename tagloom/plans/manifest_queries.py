@@ -446,7 +446,7 @@ def agg24(spark, sf):
     return vocabularies.aggregated(_local(spark, sf)).withColumn("langs", F.array_join("langs", ","))
 
 
-@query("jon17_local_to_global", f"{_GLOBAL} SELECT lang, local_id, id FROM local JOIN g USING (token)")
+@query("jon17_local_to_global", f"{_GLOBAL} SELECT lang, local_id::INT AS local_id, id FROM local JOIN g USING (token)")
 def jon17(spark, sf):
     local = _local(spark, sf)
     return vocabularies.local_to_global(local, vocabularies.aggregated(local))
@@ -554,7 +554,7 @@ def smp08(spark, sf):
 
 
 @query("smp12_twenty_seconds", """WITH c AS (SELECT doc_id, n_chars / 15.0 AS d, unnest(range(0, ceil(n_chars / 15.0 / 20)::BIGINT)) AS chunk FROM documents)
-  SELECT doc_id, chunk, round(chunk * 20.0, 4) AS chunk_start, round(least((chunk + 1) * 20.0, d), 4) AS chunk_end FROM c WHERE least((chunk + 1) * 20.0, d) - chunk * 20.0 >= 1""")
+  SELECT doc_id, chunk, round(chunk * 20.0::DOUBLE, 4) AS chunk_start, round(least((chunk + 1) * 20.0, d), 4)::DOUBLE AS chunk_end FROM c WHERE least((chunk + 1) * 20.0, d) - chunk * 20.0 >= 1""")
 def smp12(spark, sf):
     made = segments.time_chunks(_docs(spark, sf).select("doc_id", (F.col("n_chars") / 15.0).cast("double").alias("d")), "d", 20.0)
     return made.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.round("chunk_start", 4).alias("chunk_start"), F.round("chunk_end", 4).alias("chunk_end"))
