@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagloom.functions import lexicon as lx
-from tagloom.functions.text import first_match, lookup, words
+from tagloom.functions.text import first_match, let, lookup, words
 
 
 def age_bracket(years: Column, scheme: str = "schema", unknown: str | None = None, digits: int | None = None) -> Column:
@@ -208,6 +208,7 @@ def disfluency(text: Column, fillers: list[str], mean_pause: Column) -> Column:
     """STRUCT<fillers, repeats, score>: fillers (up to 20) weigh 5, the mean pause (up to 30 s) 3, repeated words (up to 10) 2."""
     tokens = F.transform(words(text), F.lower)
     n = F.size(F.filter(tokens, lambda w: w.isin(fillers)))
-    again = F.size(F.filter(F.transform(tokens, lambda w, i: (i > 0) & (w == F.try_element_at(tokens, F.when(i > 0, i).otherwise(1)))), lambda x: x))
+    # bound once: a lambda computes whatever else it mentions again for every word
+    again = let(tokens, lambda t: F.size(F.filter(t, lambda w, i: (i > 0) & (w == F.try_element_at(t, F.when(i > 0, i).otherwise(1))))))
     score = 10 * (F.least(n, F.lit(20)) / 20 * 0.5 + F.least(mean_pause, F.lit(30.0)) / 30 * 0.3 + F.least(again, F.lit(10)) / 10 * 0.2)
     return F.struct(n.alias("fillers"), again.alias("repeats"), score.alias("score"))

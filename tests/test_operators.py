@@ -67,6 +67,20 @@ def test_times_and_replies(value):
     assert value(metadata.boost_words, "['a', 'b']") == ["a", "b"] and value(metadata.boost_words, "a b") == ["a b"]
 
 
+def test_repeated_words(spark, value):
+    counted = lambda text: metadata.disfluency(text, ["um"], F.lit(0.0))
+    for text, fillers, repeats in (("The the THE um\tum\nend", 2, 3), ("a b a", 0, 0), ("a", 0, 0), (" ", 0, 0)):
+        got = value(counted, text)
+        assert (got.fillers, got.repeats) == (fillers, repeats), text
+    assert value(counted, "um um a a a").score == pytest.approx(10 * (2 / 20 * 0.5 + 3 / 10 * 0.2))
+    words = [f"w{i % 7 // 2}" for i in range(20_000)]
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.concat(F.lit("w"), F.floor(i % 7 / 2).cast("string"))), " ").alias("text"))
+    made = long.select(counted(F.col("text"))["repeats"].alias("repeats"))
+    # a text is divided once, not once more for every word of it
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert made.first().repeats == sum(a == b for a, b in zip(words, words[1:]))
+
+
 # edit distance
 
 
